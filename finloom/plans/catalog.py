@@ -1,0 +1,6 @@
+"""Queries over the driver tables, each with its DuckDB twin where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
