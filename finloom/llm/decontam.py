@@ -1,0 +1,209 @@
+"""Benchmark decontamination by a distributed positional inverted index.
+
+The corpus is indexed shard by shard where it lies (a document-sharded index: no shuffle of postings). A shard's index
+maps each word of the benchmark to its sorted postings, positions in the shard's word sequence; documents are kept
+apart by gaps. A test window is searched rarest word first: its postings, adjusted by the word's offset, are
+intersected with the lists of the next rarest words until none are left or all ten have agreed: an exact phrase match.
+Proximity matches need the four rarest words of a window within `slack` positions of their places.
+
+The benchmark is read in blocks of at most `BLOCK_WINDOWS` windows, so that what each task holds is bounded whatever
+the benchmark's size; each further block is one more pass. Whole texts are read.
+
+Defined results: null and empty texts have no words and no hits; an item without words has no window; an item shorter
+than a window is one window; repeated item rows count once; a null item_id counts as an item, named by the empty
+string; repeated documents are judged alike; empty tables give empty or unhit results. Further columns pass through
+and those named like a result are replaced.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import LOWER, UPPER
+
+WINDOW, SLACK, RAREST = 10, 3, 4
+#: Windows of the benchmark that one pass holds, and words of a shard.
+BLOCK_WINDOWS, SHARD_WORDS = 200_000, 2_000_000
+#: UTF-8 bytes: A-Z to a-z; digits, letters and all bytes of wider characters stay, the rest is blank.
+_FOLD = bytes(c if chr(c) in "0123456789" + LOWER or c > 0x7F else ord(chr(c).lower()) if chr(c) in UPPER else 0x20 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().translate(_FOLD).split() if text else []
+
+
+class Queries:
+    """The windows of a block of benchmark items: rows of word ids, grouped by length, and the items of each."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        self.vocabulary: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
+            for i in range(max(len(ids) - window, 0) + 1 if ids else 0):
+                owners.setdefault(tuple(ids[i : i + window]), set()).add("" if item is None else str(item))
+        self.windows = list(owners)
+        self.owners = [sorted(owners[w]) for w in self.windows]
+
+
+class Shard:
+    """Positional inverted index of some documents over a vocabulary."""
+
+    def __init__(self, texts: list[str | None], vocabulary: dict[bytes, int], gap: int):
+        get, chunks, self.starts, self.counts, at = vocabulary.get, [], [], [], 0
+        for text in texts:
+            ids = [get(w, -1) for w in words_of(text)]
+            self.starts.append(at)
+            self.counts.append(len(ids))
+            chunks.append(np.array(ids, dtype=np.int32))
+            chunks.append(np.full(gap, -1, np.int32))
+            at += len(ids) + gap
+        flat = np.concatenate(chunks) if chunks else np.empty(0, np.int32)
+        order = np.argsort(flat, kind="stable")
+        edges = np.searchsorted(flat[order], np.arange(len(vocabulary) + 1))
+        self.order, self.edges, self.size = order, edges, len(flat)
+
+    def postings(self, term: int) -> np.ndarray:
+        return self.order[self.edges[term] : self.edges[term + 1]]
+
+    def length(self, term: int) -> int:
+        return self.edges[term + 1] - self.edges[term]
+
+    def phrase(self, window: tuple[int, ...], ranked: list[int]) -> np.ndarray:
+        """Starts of the window's exact occurrences; ranked: its offsets, rarest word first."""
+        found = self.postings(window[ranked[0]]) - ranked[0]
+        for offset in ranked[1:]:
+            if not len(found):
+                break
+            found = _among(found + offset, self.postings(window[offset])) - offset
+        return found
+
+    def near(self, window: tuple[int, ...], ranked: list[int], slack: int) -> np.ndarray:
+        """Starts near which the rarest words of the window stand within slack of their places."""
+        found = self.postings(window[ranked[0]]) - ranked[0]
+        for offset in ranked[1:RAREST]:
+            if not len(found):
+                break
+            there = self.postings(window[offset])
+            at = np.searchsorted(there, found + offset - slack)
+            ok = at < len(there)
+            ok[ok] = there[at[ok]] <= found[ok] + offset + slack
+            found = found[ok]
+        return found
+
+
+def _among(wanted: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
+    """The wanted values that stand in a sorted list."""
+    if not len(sorted_list):
+        return wanted[:0]
+    at = np.searchsorted(sorted_list, wanted)
+    at[at == len(sorted_list)] = 0
+    return wanted[sorted_list[at] == wanted]
+
+
+def search(texts: list[str | None], queries: Queries, window: int = WINDOW, slack: int = SLACK) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]], list[set[str]]]:
+    """By document: its words, the (start, end) runs of hit words, the items it holds, the items it comes near to."""
+    shard = Shard(texts, queries.vocabulary, window + slack)
+    starts = np.array(shard.starts, dtype=np.int64)
+    cover = np.zeros(shard.size + 1, np.int32)
+    items: list[set[str]] = [set() for _ in texts]
+    near: list[set[str]] = [set() for _ in texts]
+    lengths = np.diff(shard.edges)
+    for terms, owners in zip(queries.windows, queries.owners):
+        sizes = [lengths[t] for t in terms]
+        ranked = sorted(range(len(terms)), key=sizes.__getitem__)
+        if sizes[ranked[0]]:
+            found = shard.phrase(terms, ranked)
+            if len(found):
+                np.add.at(cover, found, 1)
+                np.add.at(cover, found + len(terms), -1)
+                for d in set(np.searchsorted(starts, found, "right").tolist()):
+                    items[d - 1].update(owners)
+        ranked = [o for o in ranked if sizes[o]]
+        if len(ranked) >= min(RAREST, len(terms)) and len(terms) >= RAREST:
+            for d in set(np.searchsorted(starts, shard.near(terms, ranked, slack).clip(0), "right").tolist()):
+                near[d - 1].update(owners)
+    hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(hit))
+    runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        d = int(np.searchsorted(starts, a, "right")) - 1
+        runs[d].append((a - shard.starts[d], b - shard.starts[d]))
+    return shard.counts, runs, items, near
+
+
+def _shards(texts: pd.Series, size: int) -> Iterator[tuple[int, int]]:
+    """Slices of a batch with about as many words each; a longer document is a shard of its own."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text) // 6 if text else 0
+        if held and held + n > size:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
+_FOUND = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("near_items", T.ArrayType(T.StringType())),
+])
+
+
+def _searcher(shared, window: int, slack: int):
+    """Pandas UDF: a text to what one block of the benchmark finds in it."""
+
+    @F.pandas_udf(_FOUND)
+    def block(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for a, b in _shards(texts, SHARD_WORDS):
+                for n, runs, items, near in zip(*search(list(texts[a:b]), shared.value, window, slack)):
+                    rows.append((n, [list(r) for r in runs], sorted(items), sorted(near)))
+            yield pd.DataFrame(rows, columns=["n_words", "runs", "items", "near_items"])
+
+    return block
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[Queries]:
+    """The benchmark's windows in blocks of bounded size (one item's windows are never split)."""
+    held: list[tuple[str, str | None]] = []
+    n = 0
+    for row in benchmark.select("item_id", "text").toLocalIterator():
+        size = max(len(words_of(row["text"])) - window + 1, 1)
+        if held and n + size > limit:
+            yield Queries(held, window)
+            held, n = [], 0
+        held.append((row["item_id"], row["text"]))
+        n += size
+    yield Queries(held, window)
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs with n_words, hit_runs ([start, end) in words), items and near_items (sorted ids)."""
+    spark = docs.sparkSession
+    out = docs.drop("n_words", "hit_runs", "items", "near_items")
+    names = []
+    for i, queries in enumerate(blocks(benchmark, window, block_windows)):
+        block = _searcher(spark.sparkContext.broadcast(queries), window, slack)
+        names.append(f"__d_{i}")
+        out = out.withColumn(names[-1], block(F.col(text)))
+    runs = F.concat(*[F.col(f"{n}.runs") for n in names])
+    items, near = (F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.{c}") for n in names]))) for c in ("items", "near_items"))
+    return out.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "hit_runs": F.array_sort(runs), "items": items, "near_items": near}).drop(*names)
+
+
+def hit_words(runs: str = "hit_runs"):
+    """Words under any of the sorted runs, overlaps counted once."""
+    return F.expr(
+        f"aggregate({runs}, named_struct('n', 0L, 'upto', 0L), (a, r) -> named_struct('n', a.n + greatest(0L, r[1] - greatest(a.upto, r[0])), 'upto', greatest(a.upto, r[1])), a -> a.n)"
+    )

@@ -1,0 +1,94 @@
+"""The corpus operators' contract queries and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontam, linededup, mixing, pii, quality
+from .common import table
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _listed(spans) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.expr(f"cast(size(filter(pii, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_overlap(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "hit_runs", "items", "near_items").select(
+        "doc_id",
+        "n_words",
+        decontam.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit_runs") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op7_pii, op8_quality, op9_decontamination, op10_line_dedup)}
+
+_W = r"[^\x20\x09-\x0D]+"
+ORACLES: dict[str, str] = {}
+
+ORACLES["op8_quality"] = rf"""
+with a as (select doc_id, coalesce(text, '') t from documents),
+b as (select doc_id, t, regexp_extract_all(t, '{_W}') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from a),
+c as (select *, case when len(w) < 3 then [] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end g from b),
+n as (select row_number() over () rid, * from c),
+rep as (select rid, i, count(*) over (partition by rid, g) k from (select rid, unnest(range(1, len(g) + 1)) i, unnest(g) g from n)),
+cov as (select rid, count(distinct i + o) n from rep, (values (0), (1), (2)) v(o) where k > 1 group by rid),
+f as (select doc_id, cast(len(w) as bigint) n_words, cast(length(list_aggregate(w || [''], 'string_agg', '')) as bigint) word_chars,
+ cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(len(l) as bigint) n_lines,
+ cast(coalesce(cov.n, 0) as bigint) n_repeat_words, lower(t) <> t and upper(t) = t caps from n left join cov using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or caps or word_chars < 2 * n_words or word_chars > 20 * n_words) kept from f
+"""
+
+_F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op9_decontamination"] = rf"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all({_LOW.format("text")}, '{_F}') w from documents),
+b as (select coalesce(cast(item_id as varchar), '') item, regexp_extract_all({_LOW.format("text")}, '{_F}') w from benchmark),
+bw as (select distinct item, least(len(w), 10) k, list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') g
+ from (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
+ks as (select distinct k from bw),
+dw as (select rid, k, i, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') g from (select rid, k, w, unnest(range(1, len(w) - k + 2)) i from d, ks where len(w) >= k)),
+hits as (select distinct rid, i, dw.k, item from dw join bw on dw.g = bw.g and dw.k = bw.k),
+cov as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + k)) p from (select distinct rid, i, k from hits)) group by rid),
+its as (select rid, count(*) n, string_agg(item, ',' order by item) s from (select distinct rid, item from hits) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(cov.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items,
+ sha256(coalesce(its.s, '')) items_sha256, cov.n is not null contaminated
+from d left join cov using (rid) left join its using (rid)
+"""
+
+ORACLES["op10_line_dedup"] = rf"""
+with d as (select row_number() over () rid, doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+x as (select rid, doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from x),
+f as (select key, min(doc_id) first from k where length(key) >= 10 group by key),
+m as (select k.*, coalesce(f.first < k.doc_id, false) gone from k left join f using (key))
+select doc_id, cast(count(*) as bigint) n_lines, cast(count(*) filter (gone) as bigint) n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from m group by rid, doc_id
+"""
