@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finloom.llm import decontam, linededup, mixing, quality
+from finloom.llm import decontam, linededup, mixing, neardup, quality
 from finloom.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,6 +22,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of smallest id stays."""
+    return neardup.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontam.find_overlap(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("near-duplicate removal", near_dedup),
     ("benchmark decontamination", decontamination),
     ("source mix", source_mix),
 ]
