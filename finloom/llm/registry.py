@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linededup, mixing, neardup, pii, quality, toxicity
+from . import decontam, htmltext, linededup, mixing, neardup, pii, quality, suffixes, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_html, op6_near_duplicates, op7_pii, op8_quality, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_html, op5_suffix_dedup, op6_near_duplicates, op7_pii, op8_quality, op9_decontamination, op10_line_dedup)}
 
 _W = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {}
