@@ -1,0 +1,103 @@
+"""License scan (native: SQL functions only).
+
+Texts are folded to lower-case words of letters and digits. Overlapping windows of `window` five-word shingles, half a
+window apart, get MinHash signatures of `bands` bands of one row; templates are indexed by the signatures of all their
+windows. A window that lies in an unchanged copy equals a template window, so its bands collide for certain; a copy of
+a template of 16 shingles or more with a fifth of its shingles changed has a window of Jaccard similarity 0.66 or more,
+which shares one of 8 bands with probability 1 - 0.34^8 > 0.9998. Templates of fewer shingles are retrieved by windows
+of one shingle, which cannot miss. What is retrieved is verified exactly: the share of the template's shingles that the
+whole text holds must reach 0.8.
+
+The template index is a list of the caller's, bounded by `MAX_KEYS` and checked; it is the only thing broadcast.
+
+Defined results: null and empty texts, and texts under five words, match nothing; a template of fewer than five words
+is refused; repeated rows match alike; an empty table gives an empty table; further columns pass through, those named
+like a result are replaced.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import FOLDED_WORD
+
+#: Statements of license as they stand in files and pages, by SPDX identifier.
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+WINDOW, STEP, BANDS, SHORT, CONTAINMENT = 8, 4, 8, 16, 0.8
+#: The template index may have so many keys at most.
+MAX_KEYS = 20_000
+
+_WORDS = "regexp_extract_all(lower({t}), '" + FOLDED_WORD.replace("\\", "\\\\") + "', 0)"
+_SHINGLES = "case when size({w}) < 5 then cast(array() as array<bigint>) else transform(sequence(0, size({w}) - 5), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])) end"
+
+
+def _keys(shingles: str, step: int, window: int = WINDOW, bands: int = BANDS) -> str:
+    """SQL: the band keys of the windows of an array of shingle hashes that begin every `step` shingles.
+
+    Minima of blocks of half a window first, then of neighbouring blocks: each shingle is hashed once a band.
+    """
+    if step == 1:
+        at = f"sequence(0, greatest(size({shingles}) - {window}, 0))"
+        one = "transform({at}, i -> xxhash64({b}, array_min(transform(slice({s}, i + 1, {w}), h -> xxhash64(h, {b})))))"
+        parts = ", ".join(one.format(at=at, s=shingles, b=b, w=window) for b in range(bands))
+        return f"array_distinct(concat({parts}))"
+    blocks = "transform(sequence(0, greatest((size({s}) - 1) div {k}, 0)), i -> array_min(transform(slice({s}, i * {k} + 1, {k}), h -> xxhash64(h, {b}))))"
+    pairs = "zip_with({m}, slice({m}, 2, greatest(size({m}), 1)), (x, y) -> xxhash64({b}, least(x, y)))"
+    parts = ", ".join(pairs.format(m=blocks.format(s=shingles, k=step, b=b), b=b) for b in range(bands))
+    return f"array_distinct(concat({parts}))"
+
+
+def _single(shingles: str) -> str:
+    """SQL: keys of windows of one shingle."""
+    return f"transform({shingles}, h -> xxhash64(-1, h))"
+
+
+def template_index(spark, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
+    """(template, license, shingles), (key, template)."""
+    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
+    words = rows.withColumn("w", F.expr(_WORDS.format(t="text"))).withColumn("all", F.expr(_SHINGLES.format(w="w")))
+    made = words.select("template", "license", "all", F.array_distinct("all").alias("shingles"))
+    if made.filter("size(shingles) = 0").count():
+        raise ValueError("a template has fewer than five words")
+    keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then {_single('shingles')} else {_keys('all', 1)} end")).alias("key")).distinct()
+    if keys.count() > MAX_KEYS:
+        raise ValueError(f"the template index has more than {MAX_KEYS} keys")
+    return made.select("template", "license", "shingles"), keys
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+    """docs' rows by matched template: template, license, n_template, n_shared, containment."""
+    spark = docs.sparkSession
+    made, keys = template_index(spark, templates)
+    results = {"template", "license", "n_template", "n_shared", "containment"}
+    passing = [c for c in docs.columns if c not in results]
+    index = {r["key"]: r["templates"] for r in keys.groupBy("key").agg(F.collect_set("template").alias("templates")).collect()}  # bounded by MAX_KEYS
+    listed = F.array(*[F.lit(k).cast("long") for k in index])
+    owners = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, sorted(t))) for t in index.values()]))
+    folded = docs.select(*[F.col(f"`{c}`") for c in passing], F.expr(_WORDS.format(t=f"coalesce(`{text}`, '')")).alias("__s_w"))
+    hashed = folded.withColumn("__s_h", F.expr(_SHINGLES.format(w="__s_w"))).drop("__s_w").filter("size(__s_h) > 0")
+    keyed = hashed.withColumn("__s_k", F.expr(f"concat({_single('__s_h')}, {_keys('__s_h', STEP)})"))
+    hits = keyed.withColumn("__s_k", F.array_intersect("__s_k", listed)).filter("size(__s_k) > 0")
+    # few rows are left; each row's keys name its candidate templates
+    candidates = hits.withColumn("__s_t", F.array_distinct(F.flatten(F.transform("__s_k", lambda k: F.element_at(owners, k)))))
+    pairs = candidates.select(*[F.col(f"`{c}`") for c in passing], "__s_h", F.explode("__s_t").alias("template")).join(F.broadcast(made), "template")
+    shared = F.size(F.array_intersect("shingles", "__s_h"))
+    found = pairs.withColumns({"n_template": F.size("shingles").cast("long"), "n_shared": shared.cast("long")})
+    out = found.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= containment)
+    return out.select(*[F.col(f"`{c}`") for c in passing], "template", "license", "n_template", "n_shared", "containment")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linededup, mixing, neardup, pii, quality, suffixes, toxicity
+from . import decontam, htmltext, licenses, linededup, mixing, neardup, pii, quality, suffixes, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "template", "license", "n_template", "n_shared", "containment")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_html, op5_suffix_dedup, op6_near_duplicates, op7_pii, op8_quality, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licenses, op3_mixing, op4_html, op5_suffix_dedup, op6_near_duplicates, op7_pii, op8_quality, op9_decontamination, op10_line_dedup)}
 
 _W = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {}
@@ -110,3 +114,14 @@ m as (select k.*, coalesce(f.first < k.doc_id, false) gone from k left join f us
 select doc_id, cast(count(*) as bigint) n_lines, cast(count(*) filter (gone) as bigint) n_dropped,
  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from m group by rid, doc_id
 """
+
+_T = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+ORACLES["op2_licenses"] = rf"""
+with t as (select template, license, regexp_extract_all(lower(text), '{_F}') w from (values {_T}) v(template, license, text)),
+ts as (select distinct template, license, list_aggregate(w[i:i + 4], 'string_agg', ' ') g from (select *, unnest(range(1, len(w) - 3)) i from t)),
+d as (select row_number() over () rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_F}') w from documents),
+ds as (select distinct rid, doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') g from (select *, unnest(range(1, len(w) - 3)) i from d where len(w) > 4)),
+n as (select template, count(*) n from ts group by template),
+m as (select rid, doc_id, template, any_value(license) license, count(*) k from ds join ts using (g) group by rid, doc_id, template)
+select doc_id, cast(template as integer) template, license, n n_template, k n_shared, k::double / n containment from m join n using (template) where k::double / n >= 0.8
+"""
