@@ -50,3 +50,9 @@ def lower_ascii(c: Column) -> Column:
 def digest(name: str = "text") -> Column:
     """Tells apart the texts of rows that share an id."""
     return F.coalesce(F.xxhash64(F.col(name)), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column | str) -> DataFrame:
+    """df with a column that is computed once a row: a generator of one row, through which the optimizer neither
+    pushes filters nor copies the expression into lambdas (where it would run again for every element)."""
+    return df.withColumn(name, F.explode(F.array(F.expr(value) if isinstance(value, str) else value)))

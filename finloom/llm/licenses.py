@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_WORD
+from .common import FOLDED_WORD, once
 
 #: Statements of license as they stand in files and pages, by SPDX identifier.
 TEMPLATES = (
@@ -47,20 +47,20 @@ _WORDS = "regexp_extract_all(lower({t}), '" + FOLDED_WORD.replace("\\", "\\\\")
 _SHINGLES = "case when size({w}) < 5 then cast(array() as array<bigint>) else transform(sequence(0, size({w}) - 5), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])) end"
 
 
-def _keys(shingles: str, step: int, window: int = WINDOW, bands: int = BANDS) -> str:
-    """SQL: the band keys of the windows of an array of shingle hashes that begin every `step` shingles.
+def _blocks(shingles: str, band: int) -> str:
+    """SQL: the band's minima of blocks of half a window, so that each shingle is hashed once a band."""
+    return f"transform(sequence(0, greatest((size({shingles}) - 1) div {STEP}, 0)), i -> array_min(transform(slice({shingles}, i * {STEP} + 1, {STEP}), h -> xxhash64(h, {band}))))"
 
-    Minima of blocks of half a window first, then of neighbouring blocks: each shingle is hashed once a band.
-    """
-    if step == 1:
-        at = f"sequence(0, greatest(size({shingles}) - {window}, 0))"
-        one = "transform({at}, i -> xxhash64({b}, array_min(transform(slice({s}, i + 1, {w}), h -> xxhash64(h, {b})))))"
-        parts = ", ".join(one.format(at=at, s=shingles, b=b, w=window) for b in range(bands))
-        return f"array_distinct(concat({parts}))"
-    blocks = "transform(sequence(0, greatest((size({s}) - 1) div {k}, 0)), i -> array_min(transform(slice({s}, i * {k} + 1, {k}), h -> xxhash64(h, {b}))))"
-    pairs = "zip_with({m}, slice({m}, 2, greatest(size({m}), 1)), (x, y) -> xxhash64({b}, least(x, y)))"
-    parts = ", ".join(pairs.format(m=blocks.format(s=shingles, k=step, b=b), b=b) for b in range(bands))
-    return f"array_distinct(concat({parts}))"
+
+def _pairs(blocks: str, band: int) -> str:
+    """SQL: the band's keys of the windows, each of two neighbouring blocks."""
+    return f"zip_with(slice({blocks}, 1, greatest(size({blocks}) - 1, 1)), slice({blocks}, 2, greatest(size({blocks}), 1)), (x, y) -> xxhash64({band}, least(x, y)))"
+
+
+def _every(shingles: str) -> str:
+    """SQL: keys of all bands of the windows at every place (templates)."""
+    one = "transform(sequence(0, greatest(size({s}) - {w}, 0)), i -> xxhash64({b}, array_min(transform(slice({s}, i + 1, {w}), h -> xxhash64(h, {b})))))"
+    return f"concat({', '.join(one.format(s=shingles, w=WINDOW, b=b) for b in range(BANDS))})"
 
 
 def _single(shingles: str) -> str:
@@ -71,11 +71,11 @@ def _single(shingles: str) -> str:
 def template_index(spark, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(template, license, shingles), (key, template)."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    words = rows.withColumn("w", F.expr(_WORDS.format(t="text"))).withColumn("all", F.expr(_SHINGLES.format(w="w")))
+    words = once(once(rows, "w", _WORDS.format(t="text")), "all", _SHINGLES.format(w="w"))
     made = words.select("template", "license", "all", F.array_distinct("all").alias("shingles"))
     if made.filter("size(shingles) = 0").count():
         raise ValueError("a template has fewer than five words")
-    keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then {_single('shingles')} else {_keys('all', 1)} end")).alias("key")).distinct()
+    keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then {_single('shingles')} else {_every('all')} end")).alias("key")).distinct()
     if keys.count() > MAX_KEYS:
         raise ValueError(f"the template index has more than {MAX_KEYS} keys")
     return made.select("template", "license", "shingles"), keys
@@ -90,10 +90,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, text: str = "text", containment:
     index = {r["key"]: r["templates"] for r in keys.groupBy("key").agg(F.collect_set("template").alias("templates")).collect()}  # bounded by MAX_KEYS
     listed = F.array(*[F.lit(k).cast("long") for k in index])
     owners = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, sorted(t))) for t in index.values()]))
-    folded = docs.select(*[F.col(f"`{c}`") for c in passing], F.expr(_WORDS.format(t=f"coalesce(`{text}`, '')")).alias("__s_w"))
-    hashed = folded.withColumn("__s_h", F.expr(_SHINGLES.format(w="__s_w"))).drop("__s_w").filter("size(__s_h) > 0")
-    keyed = hashed.withColumn("__s_k", F.expr(f"concat({_single('__s_h')}, {_keys('__s_h', STEP)})"))
-    hits = keyed.withColumn("__s_k", F.array_intersect("__s_k", listed)).filter("size(__s_k) > 0")
+    folded = once(docs.select(*[F.col(f"`{c}`") for c in passing]), "__s_w", _WORDS.format(t=f"coalesce(`{text}`, '')"))
+    hashed = once(folded, "__s_h", _SHINGLES.format(w="__s_w")).drop("__s_w").filter("size(__s_h) > 0")
+    blocks = hashed
+    for b in range(BANDS):
+        blocks = once(blocks, f"__s_{b}", _blocks("__s_h", b))
+    keyed = F.expr(f"concat({_single('__s_h')}, {', '.join(_pairs(f'__s_{b}', b) for b in range(BANDS))})")
+    hits = once(blocks, "__s_k", F.array_intersect(keyed, listed)).drop(*[f"__s_{b}" for b in range(BANDS)]).filter("size(__s_k) > 0")
     # few rows are left; each row's keys name its candidate templates
     candidates = hits.withColumn("__s_t", F.array_distinct(F.flatten(F.transform("__s_k", lambda k: F.element_at(owners, k)))))
     pairs = candidates.select(*[F.col(f"`{c}`") for c in passing], "__s_h", F.explode("__s_t").alias("template")).join(F.broadcast(made), "template")

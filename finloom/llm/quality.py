@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, once
 
 _RX = WORD.replace("\\", "\\\\")
 _P = "__q_"
@@ -136,6 +136,6 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
         levels = out if _P + "text" in out.columns else with_features(out, (), text)
         for n in FEATURES:
             if n in new:
-                levels = levels.withColumn(_P + n, F.expr(FEATURES[n]))
+                levels = once(levels, _P + n, FEATURES[n])
         out = levels.filter(~F.expr(rule.fails))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
