@@ -73,23 +73,17 @@ FURTHER = (
 SAMPLE_ROWS = 400
 
 
-def with_features(docs: DataFrame, names, text: str = "text") -> DataFrame:
-    """docs and the named features as __q_ columns; the features of one level share one projection."""
-    have = {"text"}
-    out = docs.withColumn(_P + "text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    todo = [n for n in FEATURES if n in set(names)]
-    while todo:
-        level = [n for n in todo if all(_P + m not in FEATURES[n] or m in have or m == n for m in FEATURES if m != n and _mentions(FEATURES[n], m))]
-        out = out.withColumns({_P + n: F.expr(FEATURES[n]) for n in level})
-        have |= set(level)
-        todo = [n for n in todo if n not in level]
-    return out
-
+#: Features that are arrays; they are computed once a row, also where later filters use them.
+_ARRAYS = frozenset(["words", "lines", "windows", "packed", "suspects", "exact", "repeated"])
 
-def _mentions(expression: str, name: str) -> bool:
-    import re
 
-    return re.search(rf"{_P}{name}\b", expression) is not None
+def with_features(docs: DataFrame, names, text: str = "text") -> DataFrame:
+    """docs and the named features as __q_ columns."""
+    out = docs if _P + "text" in docs.columns else docs.withColumn(_P + "text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    for n, value in FEATURES.items():
+        if n in names:
+            out = once(out, _P + n, value) if n in _ARRAYS else out.withColumn(_P + n, F.expr(value))
+    return out
 
 
 def plan_cascade(docs: DataFrame, rules=BASE + FURTHER, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -133,9 +127,6 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     for rule, _, _ in plan_cascade(docs, text=text):
         new = [n for n in rule.needs if n not in have]
         have |= set(new)
-        levels = out if _P + "text" in out.columns else with_features(out, (), text)
-        for n in FEATURES:
-            if n in new:
-                levels = once(levels, _P + n, FEATURES[n])
+        levels = with_features(out, new, text)
         out = levels.filter(~F.expr(rule.fails))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
