@@ -84,9 +84,14 @@ def find_anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Four-byte numbers byte by byte, all low bytes first: high bytes compress to next to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T) if a.dtype == np.dtype("<u4") else a
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(_planes(np.ascontiguousarray(a)).tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
@@ -94,12 +99,15 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     k = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(raw, "<i8", k, 8), 8 * (k + 1), []
     for kind, size in zip(kinds.split(), sizes.tolist()):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        if kind == "<u4":
+            out.append(np.ascontiguousarray(np.frombuffer(raw, "u1", size, at).reshape(4, -1).T).view("<u4").ravel())
+        else:
+            out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
         at += size
     return out
 
 
-_RUN = "u1 u1 u1 u1 u1 <u4 <u4 <u4 <i8 <u4"
+_RUN = "u1 u1 u1 u1 u1 <u4 <u4 <u4 <i8 <u2"
 
 
 def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, tags: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -140,7 +148,7 @@ def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarr
             lefts = r[:, SPAN:-2][np.arange(LEFT) < r[:, -2:-1]]
             where = np.repeat(new[pick], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             used, table = np.unique(doc[where], return_inverse=True)
-            yield int(p), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, count.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used].astype("<u4")])
+            yield int(p), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, count.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used].astype("<u2")])
 
 
 def decode_run(blob: bytes) -> dict[str, np.ndarray]:
@@ -241,7 +249,7 @@ def _prefixes(rows: np.ndarray) -> np.ndarray:
 def repeats_of_range(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, tag, begin, end) of removed runs found in one range."""
     runs = [decode_run(b) for b in blobs]
-    none = (np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+    none = (np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64))
     if not runs:
         return none
     bounds = np.cumsum([0] + [len(r["lo"]) for r in runs])
@@ -318,7 +326,7 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndar
     text = pc.fill_null(batch.column("text"), b"").cast(pa.large_binary())
     offsets = np.frombuffer(text.buffers()[1], "<i8")[text.offset : text.offset + len(text) + 1]
     data = memoryview(text.buffers()[2] or b"")
-    ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy().astype(np.uint32)
+    ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
     a = 0
     while a < len(text):
         b = max(int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1, a + 1)
@@ -341,13 +349,13 @@ def _by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 def _settle(packs: list[bytes], found: list[bytes]) -> pd.DataFrame:
     """The results of one bucket's documents."""
-    parts = [_unpack(b, "<i8 <u4 <i8 <i8") for b in found]
+    parts = [_unpack(b, "<i8 <u2 <i8 <i8") for b in found]
     doc, tag, begin, end = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
     order = np.lexsort((begin, tag, doc))
     doc, tag, begin, end = doc[order], tag[order], begin[order], end[order]
     rows = []
     for pack in packs:
-        ids, tags, sizes, data = _unpack(pack, "<i8 <u4 <i8 u1")
+        ids, tags, sizes, data = _unpack(pack, "<i8 <u2 <i8 u1")
         edges = np.concatenate([[0], np.cumsum(sizes)])
         lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
         for i in range(len(ids)):
@@ -375,7 +383,7 @@ def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // range_bytes))
     read = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tag"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).bitwiseAND(0xFFFF).alias("tag"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
 
@@ -387,14 +395,14 @@ def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         doc, tag, begin, end = repeats_of_range(list(group["run"]))
-        out = [(p, None, _pack([doc[i], tag[i].astype("<u4"), begin[i], end[i]])) for p, i in _by_bucket(doc, parts)]
+        out = [(p, None, _pack([doc[i], tag[i].astype("<u2"), begin[i], end[i]])) for p, i in _by_bucket(doc, parts)]
         return pd.DataFrame(out, columns=["part", "docs", "found"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, starts, ends, ids, tags in _columns(batch):
                 raw = np.frombuffer(data, np.uint8)
-                rows = [(p, _pack([ids[i], tags[i].astype("<u4"), (ends - starts)[i], np.concatenate([raw[starts[j] : ends[j]] for j in i])])) for p, i in _by_bucket(ids, parts)]
+                rows = [(p, _pack([ids[i], tags[i].astype("<u2"), (ends - starts)[i], np.concatenate([raw[starts[j] : ends[j]] for j in i])])) for p, i in _by_bucket(ids, parts)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "docs": pa.array([r for _, r in rows], pa.binary()), "found": pa.nulls(len(rows), pa.binary())})
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
