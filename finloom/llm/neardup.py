@@ -35,7 +35,7 @@ from .common import materialise
 #: Words of a shingle, similarity, and bands x rows: a pair at 0.8 shares no band with a probability of 1e-6.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 36, 5
 #: Bytes of text that are sketched at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 _LAST = 2**63 - 1
 _U = np.uint64
 
@@ -119,13 +119,13 @@ def prob_minhash(doc: np.ndarray, shingles: np.ndarray, weights: np.ndarray, tex
 def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (texts x bands, int64) and the number of distinct shingles of each text."""
     out, sizes, at = np.zeros((len(texts), bands), np.int64), np.zeros(len(texts), np.int64), 0
-    raw = [(t or "").lower().encode() for t in texts]
-    while at < len(raw):
-        end, held = at, 0
-        while end < len(raw) and (end == at or held + len(raw[end]) <= CHUNK_BYTES):
-            held += len(raw[end])
+    while at < len(texts):
+        end, held, raw = at, 0, []
+        while end < len(texts) and held < CHUNK_BYTES:
+            raw.append((texts[end] or "").lower().encode())
+            held += len(raw[-1])
             end += 1
-        doc, shingles, counts = shingle_hashes(raw[at:end])
+        doc, shingles, counts = shingle_hashes(raw)
         registers = prob_minhash(doc, shingles, 1 + np.log(counts), end - at, bands * rows)
         keys = registers.reshape(end - at, bands, rows)
         salt = mix(np.arange(1, bands + 1, dtype=_U))
@@ -176,7 +176,7 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
 
     def bag(text: str) -> Counter:
         if text not in known:
-            if len(known) > 64:
+            if len(known) > 16:
                 known.clear()
             known[text] = shingles(text)
         return known[text]
