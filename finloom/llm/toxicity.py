@@ -65,12 +65,12 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a text's n-grams; shares add up to 1."""
     parts = list(_grams(text)) if text else []
     if not sum(map(len, parts)):
-        return np.empty(0, np.int32), np.empty(0, np.float32)
+        return np.empty(0, np.uint16), np.empty(0, np.float32)
     counts = np.zeros(BUCKETS)
     for p in parts:
         counts += np.bincount(p, minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    return at.astype(np.int32), (counts[at] / counts.sum()).astype(np.float32)
+    return at.astype(np.uint16), (counts[at] / counts.sum()).astype(np.float32)
 
 
 class Model:
@@ -128,13 +128,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return Model(E.astype(np.float64) @ difference * rarity, float(b[1] - b[0]))
 
 
-_BAG = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("share", T.ArrayType(T.FloatType()))])
+#: A bag as bytes: two-byte bucket numbers, four-byte shares.
+_BAG = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())])
 
 
 @F.pandas_udf(_BAG)
 def _bags(texts: pd.Series) -> pd.DataFrame:
     found = [bag(t) for t in texts]
-    return pd.DataFrame({"at": [x[0] for x in found], "share": [x[1] for x in found]})
+    return pd.DataFrame({"at": [a.astype("<u2").tobytes() for a, _ in found], "share": [s.astype("<f4").tobytes() for _, s in found]})
 
 
 def held_out(c="doc_id"):
@@ -149,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     picked = [usable.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(max_rows) for v in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded: 2 x max_rows ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(chosen, "id")
-    found = rows.select("id", "label", _bags("text").alias("bag")).select("id", "label", "bag.at", "bag.share").toPandas()
-    found = found.sort_values("id", kind="stable")
-    bags = [(np.asarray(a, np.int32), np.asarray(s, np.float32)) for a, s in zip(found["at"], found["share"])]
-    return train(bags, found["label"].to_numpy(np.int64))
+    found = rows.select("id", "label", _bags("text").alias("bag")).select("id", "label", "bag.at", "bag.share").toArrow()
+    found = found.sort_by([("id", "ascending"), ("at", "ascending")])
+    bags = [(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(s.as_py(), "<f4")) for a, s in zip(found["at"], found["share"])]
+    return train(bags, found["label"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
