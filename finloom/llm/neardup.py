@@ -8,10 +8,11 @@ nothing, so a shingle is done as soon as its next arrival is that late (early te
 than one arrival a shingle.
 
 Identical texts are one node. Registers are banded, and nodes that share a band are candidates. Links are verified on
-the texts themselves: Jaccard or probability Jaccard similarity of at least 0.8. Within a band's bucket no pairs are
-spread out: (1) each node is verified against the smallest of its buckets' first nodes; (2) against the first nodes of
-those buckets which lie in another component; (3) the members outside a bucket's largest component against the members
-of other components. What (3) leaves out lies in one component already, so no link between components is lost.
+the texts themselves: Jaccard similarity of their shingles of at least 0.8. Within a band's bucket no pairs are spread
+out: (1) each node is verified against the smallest of its buckets' first nodes; (2) against the first nodes of those
+buckets which lie in another component; (3) the members outside a bucket's largest component against the members of
+other components, in tiles of bounded size where a bucket is large. What (3) leaves out lies in one component already,
+so no link between components is lost.
 
 Defined results: a null text counts as empty; identical texts, empty ones too, are one class; texts without words have
 no further links; rows that share an id are told apart by their texts; a class is named by its smallest doc_id, null
@@ -20,7 +21,6 @@ ids last; an empty table gives an empty table. Extra columns are ignored by `cla
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +34,8 @@ from .common import materialise
 
 #: Words of a shingle, similarity, and bands x rows: a pair at 0.8 shares no band with a probability of 1e-6.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 36, 5
-#: Bytes of text that are sketched at once.
-CHUNK_BYTES = 1_000_000
+#: Bytes of text that are sketched at once; pairs of a bucket that are listed, and texts on a side of a tile beyond.
+CHUNK_BYTES, FEW, TILE = 1_000_000, 16, 256
 _LAST = 2**63 - 1
 _U = np.uint64
 
@@ -135,26 +135,49 @@ def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tup
     return out, sizes
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """The larger of Jaccard and probability Jaccard similarity of two shingle counts."""
-    both = a.keys() & b.keys()
-    if not both:
-        return 0.0
-    union = a.keys() | b.keys()
-    plain = len(both) / len(union)
-    if plain == 1.0 or not any(n > 1 for c in (a, b) for n in c.values()):
-        return plain
-    x = np.array([1 + np.log(a[k]) if k in a else 0.0 for k in union])
-    y = np.array([1 + np.log(b[k]) if k in b else 0.0 for k in union])
-    common = (x > 0) & (y > 0)
-    ratio, n = np.unique((x[common] / y[common]).round(12), return_inverse=True)
-    whole = np.array([np.maximum(x, r * y).sum() for r in ratio])
-    return max(plain, float((x[common] / whole[n]).sum()))
-
-
-def shingles(text: str, k: int = SHINGLE) -> Counter:
+def shingles(text: str, k: int = SHINGLE) -> frozenset:
+    """The shingles themselves; verification trusts no hash."""
     words = text.lower().encode().split()
-    return Counter(zip(*[words[i:] for i in range(k)])) if len(words) >= k else Counter([tuple(words)] if words else [])
+    return frozenset(zip(*[words[i:] for i in range(k)])) if len(words) >= k else frozenset([tuple(words)] if words else [])
+
+
+def similarity(a: frozenset, b: frozenset) -> float:
+    both = len(a & b)
+    return both / max(1, len(a) + len(b) - both)
+
+
+def spanning_links(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Links of a tile (node, l, outside, text) between components, as many as it takes to connect them.
+
+    Every text becomes a bit set over the tile's shingles, so a pair costs one AND and one bit count.
+    """
+    place: dict = {}
+    known: dict[bytes, tuple[int, int]] = {}
+    for node, text in zip(rows["node"], rows["text"]):
+        if node not in known:
+            own = [place.setdefault(s, len(place)) for s in shingles(text)]
+            bits = bytearray(len(place) // 8 + 1)
+            for i in own:
+                bits[i >> 3] |= 1 << (i & 7)
+            known[node] = (int.from_bytes(bits, "little"), len(own))
+    root: dict[bytes, bytes] = {l: l for l in rows["l"]}
+
+    def find(l: bytes) -> bytes:
+        while root[l] != l:
+            root[l] = l = root[root[l]]
+        return l
+
+    out = []
+    members = [(n, l, *known[n]) for n, l, o in zip(rows["node"], rows["l"], rows["outside"]) if not o]
+    for a, la, bits, n in [(x, l, *known[x]) for x, l, o in zip(rows["node"], rows["l"], rows["outside"]) if o]:
+        top = find(la)
+        for b, lb, other, m in members:
+            if n >= THRESHOLD * m and m >= THRESHOLD * n and la != lb:
+                both = (bits & other).bit_count()
+                if both >= THRESHOLD * (n + m - both) and find(lb) != top:
+                    root[find(lb)] = top
+                    out.append((min(a, b), max(a, b)))
+    return out
 
 
 _SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
@@ -172,9 +195,9 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 @F.pandas_udf(T.BooleanType())
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    known: dict[str, Counter] = {}
+    known: dict[str, frozenset] = {}
 
-    def bag(text: str) -> Counter:
+    def bag(text: str) -> frozenset:
         if text not in known:
             if len(known) > 16:
                 known.clear()
@@ -243,8 +266,7 @@ def node_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     def label(side: str) -> DataFrame:
         return labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
 
-    def merge(pairs: DataFrame) -> DataFrame:
-        links = verified(pairs)
+    def merge_links(links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return labels
         between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -253,17 +275,29 @@ def node_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     # 2. against the first nodes in other components
     others = candidates.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     apart = others.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    labels = merge(materialise(apart.select("a", "b"), "pairs"))
+    labels = merge_links(verified(materialise(apart.select("a", "b"), "pairs")))
     # 3. members outside a bucket's largest component against those of other components
-    crowd = members.join(buckets.select("key"), "key", "left_semi").select("key", F.col("node").alias("a")).join(label("a"), "a", "left").select("key", "a", F.coalesce("la", "a").alias("l"))
+    crowd = members.join(buckets.select("key"), "key", "left_semi").select("key", F.col("node").alias("a")).join(label("a"), "a", "left").select("key", F.col("a").alias("node"), F.coalesce("la", "a").alias("l"))
     crowd = materialise(crowd, "crowd")
     sizes = crowd.groupBy("key", "l").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("m.l").alias("main"))
-    split = crowd.join(main, "key")
-    outside = split.filter("l <> main").select("key", F.col("a").alias("b"), F.col("l").alias("lb"))
-    pairs = split.join(outside, "key").filter("l <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "l")).alias("m"), F.sum("n").alias("all")).filter("m.n < all").select("key", F.col("m.l").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("out"))
+    split = materialise(crowd.join(main, "key").withColumn("outside", F.col("l") != F.col("main")), "split")
+    few = split.filter(F.col("all") * F.col("out") <= FEW)
+    outside = few.filter("outside").select("key", F.col("node").alias("b"), F.col("l").alias("lb"))
+    pairs = few.join(outside, "key").filter("l <> lb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     done = others.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = merge(materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
+    links = verified(materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
+    # large buckets: tiles of bounded size, each text once in a tile
+    many = split.filter(F.col("all") * F.col("out") > FEW).withColumns({"wide": F.ceil(F.col("all") / TILE).cast("int"), "high": F.ceil(F.col("out") / TILE).cast("int")})
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows_of = many.filter("outside").select("key", "node", "l", "outside", spot("high").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+    columns_of = many.select("key", "node", "l", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), spot("wide").alias("j"))
+
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(spanning_links(group), columns=["a", "b"])
+
+    tiles = rows_of.unionByName(columns_of).join(texts, "node").groupBy("key", "i", "j").applyInPandas(tile, "a binary, b binary")
+    labels = merge_links(links.unionByName(materialise(tiles.distinct(), "links")))
 
     linked = labels.join(nodes.select("node", "id"), "node")
     named = linked.groupBy("label").agg(F.min(F.struct("id", "node")).alias("rep"))
