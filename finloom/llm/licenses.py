@@ -3,9 +3,9 @@
 Texts are folded to lower-case words of letters and digits. Overlapping windows of `window` five-word shingles, half a
 window apart, get MinHash signatures of `bands` bands of one row; templates are indexed by the signatures of all their
 windows. A window that lies in an unchanged copy equals a template window, so its bands collide for certain; a copy of
-a template of 16 shingles or more with a fifth of its shingles changed has a window of Jaccard similarity 0.66 or more,
+a template of 32 shingles or more with a fifth of its shingles changed has a window of Jaccard similarity 0.66 or more,
 which shares one of 8 bands with probability 1 - 0.34^8 > 0.9998. Templates of fewer shingles are retrieved by windows
-of one shingle, which cannot miss. What is retrieved is verified exactly: the share of the template's shingles that the
+of one shingle, whose minimum is the shingle's own hash and cannot miss. What is retrieved is verified exactly: the share of the template's shingles that the
 whole text holds must reach 0.8.
 
 The template index is a list of the caller's, bounded by `MAX_KEYS` and checked; it is the only thing broadcast.
@@ -39,7 +39,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-WINDOW, STEP, BANDS, SHORT, CONTAINMENT = 8, 4, 8, 16, 0.8
+WINDOW, STEP, BANDS, SHORT, CONTAINMENT = 16, 8, 8, 32, 0.8
 #: The template index may have so many keys at most.
 MAX_KEYS = 20_000
 
@@ -63,11 +63,6 @@ def _every(shingles: str) -> str:
     return f"concat({', '.join(one.format(s=shingles, w=WINDOW, b=b) for b in range(BANDS))})"
 
 
-def _single(shingles: str) -> str:
-    """SQL: keys of windows of one shingle."""
-    return f"transform({shingles}, h -> xxhash64(-1, h))"
-
-
 def template_index(spark, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(template, license, shingles), (key, template)."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
@@ -75,7 +70,7 @@ def template_index(spark, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     made = words.select("template", "license", "all", F.array_distinct("all").alias("shingles"))
     if made.filter("size(shingles) = 0").count():
         raise ValueError("a template has fewer than five words")
-    keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then {_single('shingles')} else {_every('all')} end")).alias("key")).distinct()
+    keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then shingles else {_every('all')} end")).alias("key")).distinct()
     if keys.count() > MAX_KEYS:
         raise ValueError(f"the template index has more than {MAX_KEYS} keys")
     return made.select("template", "license", "shingles"), keys
@@ -95,7 +90,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, text: str = "text", containment:
     blocks = hashed
     for b in range(BANDS):
         blocks = once(blocks, f"__s_{b}", _blocks("__s_h", b))
-    keyed = F.expr(f"concat({_single('__s_h')}, {', '.join(_pairs(f'__s_{b}', b) for b in range(BANDS))})")
+    keyed = F.expr(f"concat(__s_h, {', '.join(_pairs(f'__s_{b}', b) for b in range(BANDS))})")
     hits = once(blocks, "__s_k", F.array_intersect(keyed, listed)).drop(*[f"__s_{b}" for b in range(BANDS)]).filter("size(__s_k) > 0")
     # few rows are left; each row's keys name its candidate templates
     candidates = hits.withColumn("__s_t", F.array_distinct(F.flatten(F.transform("__s_k", lambda k: F.element_at(owners, k)))))
