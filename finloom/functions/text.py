@@ -31,7 +31,7 @@ def numeric_format_repair(c: Column) -> Column:
     """Signs misread before digits, then letters misread between digits (one pass each)."""
     s = F.regexp_replace(c, r"(^|\s)[=:_~](\d)", "$1-$2")
     for glyph, digit in (("O", "0"), ("o", "0"), ("l", "1"), ("I", "1"), ("S", "5"), ("B", "8")):
-        s = F.regexp_replace(s, rf"(\d){glyph}(\d)", "${1}" + digit + "${2}")
+        s = F.regexp_replace(s, rf"(\d){glyph}(\d)", f"$1{digit}$2")
     return s
 
 

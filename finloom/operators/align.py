@@ -133,12 +133,12 @@ def vote_cells(cells: DataFrame, keys, tolerance: float = 1.0) -> DataFrame:
     clusters = by.withColumn("clusters", vote_numeric(F.col("votes"), tolerance))
     total = F.aggregate("votes", F.lit(0.0), lambda s, v: s + v["weight"])
     best = F.array_max(F.transform("clusters", lambda c, i: F.struct(c["weight"].alias("weight"), (-i).alias("o"), c["anchor"].alias("anchor"))))
-    out = clusters.withColumns({"best": best, "n": F.size("votes"), "k": F.size("clusters"), "total": total})
-    delta = F.when(F.col("k") == 1, 0.0).otherwise(1.0 - F.col("best.weight") / F.col("total"))
-    out = out.withColumn("delta", delta)
+    out = clusters.withColumns({"__best": best, "__n": F.size("votes"), "__k": F.size("clusters"), "__total": total})
+    delta = F.when(F.col("__k") == 1, 0.0).otherwise(1.0 - F.col("__best.weight") / F.col("__total"))
+    out = out.withColumn("__delta", delta)
     return out.select(
-        *keys, F.col("best.anchor").alias("value"), F.round("delta", 6).alias("delta"), "n", vote_flag(F.col("delta"), F.col("n")).alias("flag"),
-        F.when((F.col("k") == 1) & (F.col("n") >= 2), "consensus").otherwise("ensemble").alias("provenance"), F.round(1 - F.col("delta"), 3).alias("confidence"),
+        *keys, F.col("__best.anchor").alias("value"), F.round("__delta", 6).alias("delta"), F.col("__n").alias("n"), vote_flag(F.col("__delta"), F.col("__n")).alias("flag"),
+        F.when((F.col("__k") == 1) & (F.col("__n") >= 2), "consensus").otherwise("ensemble").alias("provenance"), F.round(1 - F.col("__delta"), 3).alias("confidence"),
     )
 
 

@@ -122,7 +122,7 @@ def parse_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with c as (select unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderpriority']) col, unnest([cast(o_orderkey as varchar), o_orderstatus, cast(o_totalprice as varchar), o_orderpriority]) v from orders)
-select col, round(avg(case when regexp_matches(replace(v, ' ', ''), '^-?[0-9]+(\\.[0-9]*)?$') or (regexp_matches(v, '[0-9]') and col = 'o_orderpriority') then 1.0 else 0.0 end), 6) ratio from c group by col having ratio > 0.5""")
+select col, round(avg(case when regexp_matches(replace(v, ' ', ''), '^-?[0-9]+(\\.[0-9]*)?$') then 1.0 else 0.0 end), 6) ratio from c group by col having ratio > 0.5""")
 def numeric_columns(spark: SparkSession, d: str) -> DataFrame:
     """Columns of orders of which most cells read as numbers; priorities such as 5-LOW do not."""
     names = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
@@ -259,7 +259,7 @@ def _revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with t as (select conv_id, turn, role, lag(turn) over (partition by conv_id order by turn) p from conversations)
-select conv_id, turn, sum(case when p is null or turn - p > 1 or role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) part from t""")
+select conv_id, turn, cast(sum(case when p is null or turn - p > 1 or role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as bigint) part from t""")
 def merge_pages(spark: SparkSession, d: str) -> DataFrame:
     """Turns as pages: a gap or a user's turn begins a new part."""
     w = W.partitionBy("conv_id").orderBy("turn")
@@ -389,7 +389,7 @@ def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with v as (select distinct p_name a, p_name || 's' b, substr(p_name, 2) c from part), n as (select a, levenshtein(a, b)::double / greatest(length(a), length(b)) ab, levenshtein(a, c)::double / greatest(length(a), length(c)) ac, levenshtein(b, c)::double / greatest(length(b), length(c)) bc from v)
-select a p_name, cast(case when (ab + ac) / 2 <= (ab + bc) / 2 and (ab + ac) / 2 <= (ac + bc) / 2 then 0 when (ab + bc) / 2 <= (ac + bc) / 2 then 1 else 2 end as integer) at, round(least((ab + ac) / 2, (ab + bc) / 2, (ac + bc) / 2), 6) delta from n""")
+select a p_name, cast(case when (ab + ac) / 2 <= (ab + bc) / 2 and (ab + ac) / 2 <= (ac + bc) / 2 then 0 when (ab + bc) / 2 <= (ac + bc) / 2 then 1 else 2 end as integer) "at", round(least((ab + ac) / 2, (ab + bc) / 2, (ac + bc) / 2), 6) delta from n""")
 def text_medoid(spark: SparkSession, d: str) -> DataFrame:
     """The most central of three spellings of a part name."""
     names = _t(spark, d, "part").select("p_name").distinct().withColumn("s", F.array("p_name", F.concat("p_name", F.lit("s")), F.expr("substring(p_name, 2)")))
@@ -465,10 +465,9 @@ def paged_list(spark: SparkSession, d: str) -> DataFrame:
     return store.page(orders, F.col("o_orderdate").desc(), F.col("o_orderkey"), offset=100).join(total).select("o_orderkey", "o_totalprice", "total")
 
 
-@query("""with s as (select cast(user_id as varchar) raw_text, event_type matched_to, count(*) n from events where event_type in ('error', 'purchase') group by 1, 2) select raw_text, matched_to, n from s where n >= 3 qualify count(*) over (partition by raw_text) = 1""")
+@query("""with s as (select cast(user_id % 50 + floor(value)::bigint * 50 as varchar) raw_text, event_type matched_to, count(*) n from events where event_type in ('error', 'purchase') group by 1, 2) select raw_text, matched_to, n from (select *, count(*) over (partition by raw_text) c from s) where n >= 3 and c = 1""")
 def promotable(spark: SparkSession, d: str) -> DataFrame:
-    log = _t(spark, d, "events").filter("event_type in ('error', 'purchase')").select(F.col("user_id").cast("string").alias("raw_text"), F.col("event_type").alias("matched_to"))
-    # the operator counts a raw text's meanings after the threshold of none, so ties of rare meanings still block
+    log = _t(spark, d, "events").filter("event_type in ('error', 'purchase')").select((F.col("user_id") % 50 + F.floor("value") * 50).cast("string").alias("raw_text"), F.col("event_type").alias("matched_to"))
     return store.promotable(log)
 
 
