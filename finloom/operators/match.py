@@ -226,11 +226,3 @@ def side_memberships(segments: DataFrame) -> DataFrame:
     """Segments by bucket: each in its statement's, and in its side's besides."""
     extra = segments.filter(F.col("side").isNotNull()).withColumn("bucket", F.concat_ws("_", "statement", "side"))
     return segments.withColumn("bucket", F.col("statement")).unionByName(extra)
-
-
-def infer_model(roles: Column) -> tuple[Column, Column]:
-    """(column model, confidence) from the set of column roles."""
-    has = lambda r: F.array_contains(roles, r)
-    model = F.when(has("brut") & has("amort") & has("net"), "brut_amort_net").when(has("n") & has("n_1"), "n_n1").when(has("brut") & has("net"), "brut_net").when(has("net"), "single")
-    confidence = F.when(model == "brut_amort_net", 0.95).when(model == "n_n1", 0.90).when(model == "brut_net", 0.85).when(model == "single", 0.75)
-    return F.coalesce(model, F.lit("single")), F.coalesce(confidence, F.lit(0.50))

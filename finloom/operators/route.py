@@ -25,10 +25,9 @@ def green_flag(match_rate: Column, parse_failures: Column, column_confidence: Co
     return out
 
 
-def unmatched_kind(label: Column, values: Column) -> Column:
-    """Rows without a match: empty, header, grouped (a heading's member) or custom."""
-    blank = F.trim(F.coalesce(label, F.lit(""))) == ""
-    return F.when(blank & (values == 0), "empty").when(text.is_caps_heading(label) & (values == 0), "header").when(blank, "grouped").otherwise("custom")
+def unmatched_kind(label: Column, section: Column) -> Column:
+    """Rows without a match: empty, header, grouped under their section, or custom."""
+    return F.when(F.trim(F.coalesce(label, F.lit(""))) == "", "empty").when(text.is_caps_heading(label), "header").when(section.isNotNull(), "grouped").otherwise("custom")
 
 
 def enrich(rows: DataFrame, cells: DataFrame, terms: DataFrame, sections: list[tuple[str, str]], keys=tuple(ordered.TABLE), config: Config = DEFAULT) -> DataFrame:
@@ -48,7 +47,7 @@ def enrich(rows: DataFrame, cells: DataFrame, terms: DataFrame, sections: list[t
     foot = ordered.footing(marked, keys).select(*keys, "row_idx", "expected", F.col("valid").alias("footing_valid"))
     out = marked.join(foot, [*keys, "row_idx"], "left")
     unread = F.coalesce(F.col("filled") & F.col("value").isNull(), F.lit(False))
-    kind = F.when(F.col("match_type").isin("custom", "unrecognized"), unmatched_kind(F.col("label"), F.col("value").isNotNull().cast("int"))).otherwise(F.col("match_type"))
+    kind = F.when(F.col("match_type").isin("custom", "unrecognized"), unmatched_kind(F.col("label"), F.col("section"))).otherwise(F.col("match_type"))
     return out.withColumns({"row_kind": kind, "flag": F.when(unread, "red").when(F.col("footing_valid") == F.lit(False), "yellow").otherwise("green")})
 
 

@@ -103,3 +103,50 @@ def retry_backoff(attempt: Column, cap: int = 600) -> Column:
 
 def ground_truth(corrections: DataFrame, org) -> DataFrame:
     return corrections.filter(F.col("org_id") == org).orderBy("created_at", "correction_id")
+
+
+def owned(rows: DataFrame, key: str, value, org) -> DataFrame:
+    """A tenant's row by id; empty if it is another's."""
+    return rows.filter((F.col(key) == value) & (F.col("org_id") == org))
+
+
+def audit_trail(events: DataFrame, document) -> DataFrame:
+    return events.filter(F.col("document_id") == document).orderBy("ts", "event_id")
+
+
+def assign(documents: DataFrame, assignments: DataFrame, me: str) -> DataFrame:
+    """Documents with the reviewer of their assignment, oneself where none is named."""
+    named = assignments.select("document_id", F.coalesce("reviewer", F.lit(me)).alias("assigned"))
+    return documents.join(named, "document_id", "left").withColumn("reviewer", F.coalesce("assigned", "reviewer")).drop("assigned")
+
+
+def decide_variations(variations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Variations approved or rejected by their id."""
+    return variations.join(decisions.select("variation_id", "approve"), "variation_id", "left").withColumn("status", F.when(F.col("approve"), "approved").when(~F.col("approve"), "rejected").otherwise(F.col("status"))).drop("approve")
+
+
+def confirmed_customs(log: DataFrame) -> DataFrame:
+    return log.filter(F.col("match_type") == "confirmed_custom").select(F.col("raw_text").alias("label")).distinct()
+
+
+def job_step(jobs: DataFrame, outcomes: DataFrame, retries: int = 3) -> DataFrame:
+    """Jobs after their run (job_id, ok, error): done, queued again with a wait, or failed; errors keep 4000 characters."""
+    out = jobs.join(outcomes, "job_id", "left")
+    again = (F.col("ok") == F.lit(False)) & (F.col("attempt") < retries)
+    return out.withColumns({
+        "status": F.when(F.col("ok"), "done").when(again, "queued").when(F.col("ok") == F.lit(False), "failed").otherwise(F.col("status")),
+        "wait": F.when(again, retry_backoff(F.col("attempt"))),
+        "attempt": F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")),
+        "error": F.substring("error", 1, 4000),
+    }).drop("ok")
+
+
+def replay(sent: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Deliveries set back to pending."""
+    hit = wanted.select("delivery_id", F.lit(True).alias("again"))
+    return sent.join(hit, "delivery_id", "left").withColumns({"status": F.when(F.col("again"), "pending").otherwise(F.col("status")), "attempts": F.when(F.col("again"), 0).otherwise(F.col("attempts"))}).drop("again")
+
+
+def several_statements(segments: DataFrame, keys) -> DataFrame:
+    """Documents with more than one known kind of statement: cross checks apply."""
+    return segments.filter("statement <> 'unknown'").groupBy(*keys).agg((F.countDistinct("statement") > 1).alias("cross"))
