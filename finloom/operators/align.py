@@ -162,3 +162,72 @@ def table_rollup(rows: DataFrame, keys) -> DataFrame:
     """Match rate, rows that no dictionary knows, worst flag."""
     matched = F.col("match_type").isin("exact", "fuzzy", "resolved")
     return rows.groupBy(*keys).agg(F.avg(matched.cast("int")).alias("match_rate"), F.count_if(F.col("match_type").isin("custom", "grouped")).alias("custom_rows"), flag_of(F.max(rank_flag(F.col("flag")))).alias("flag"))
+
+
+def pair_tables(a: DataFrame, b: DataFrame, keys=("doc_id", "table_idx")) -> DataFrame:
+    """Tables of two sources by position: which side has them; extras pass through."""
+    x, y = a.select(*keys).distinct().withColumn("in_a", F.lit(True)), b.select(*keys).distinct().withColumn("in_b", F.lit(True))
+    return x.join(y, list(keys), "full_outer").select(*keys, F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
+
+
+def merge_rows(alignment: DataFrame, a: DataFrame, b: DataFrame, keys) -> DataFrame:
+    """Rows of an alignment: the matched side is the base, a before b; two different terms are a red conflict, rows of b alone turn yellow."""
+    keys = list(keys)
+    side = lambda df, s: df.select(*keys, F.col("row_idx").alias(f"{s}_idx"), F.col("label").alias(f"{s}_label"), F.col("canonical").alias(f"{s}_term"), F.col("section").alias(f"{s}_section"))
+    both = alignment.join(side(a, "a"), [*keys, "a_idx"], "left").join(side(b, "b"), [*keys, "b_idx"], "left")
+    use_a = F.col("a_term").isNotNull() | (F.col("b_term").isNull() & F.col("a_idx").isNotNull())
+    pick = lambda c: F.when(use_a, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    conflict = F.coalesce(F.col("a_term") != F.col("b_term"), F.lit(False))
+    flag = F.when(conflict, "red").when(F.col("a_idx").isNull(), "yellow").otherwise("green")
+    return both.select(*keys, "a_idx", "b_idx", "method", pick("label").alias("label"), pick("term").alias("canonical"), F.coalesce("a_section", "b_section").alias("section"), conflict.alias("conflict"), flag.alias("flag"))
+
+
+def anchors(rows: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx")) -> DataFrame:
+    """(keys, source): each table's source of largest weight, then of most rows, then first by name."""
+    by = rows.groupBy(*keys, "source").agg(F.count("*").alias("n")).join(F.broadcast(weights), "source")
+    w = W.partitionBy(*keys).orderBy(F.col("weight").desc(), F.col("n").desc(), "source")
+    return by.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*keys, "source")
+
+
+def row_groups(rows: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx"), config: Config = DEFAULT) -> DataFrame:
+    """rows with group_id: rows of other sources join the anchor's row that they align with, or are groups of their own."""
+    keys = list(keys)
+    anchor = rows.join(anchors(rows, weights, keys), [*keys, "source"], "left_semi")
+    rest = rows.join(anchors(rows, weights, keys), [*keys, "source"], "left_anti")
+    with_source = rest.select(*keys, "source").distinct()
+    # every other source against a copy of the anchor's rows, keyed by that source
+    copies = anchor.drop("source").join(with_source, keys)
+    found = align_rows(copies, rest, [*keys, "source"], config).filter(F.col("b_idx").isNotNull())
+    placed = found.select(*keys, "source", F.col("b_idx").alias("row_idx"), F.when(F.col("a_idx").isNotNull(), F.concat(F.lit("a:"), F.col("a_idx").cast("string"))).otherwise(F.concat_ws(":", "source", F.col("b_idx").cast("string"))).alias("group_id"))
+    own = anchor.withColumn("group_id", F.concat(F.lit("a:"), F.col("row_idx").cast("string")))
+    return own.unionByName(rest.join(placed, [*keys, "source", "row_idx"]))
+
+
+def vote_groups(grouped: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx")) -> DataFrame:
+    """Row of a group: metadata of its heaviest labelled member, a subtotal if any member is one."""
+    rows = grouped.join(F.broadcast(weights), "source")
+    best = F.struct(F.col("label").isNotNull().alias("named"), F.col("weight"))
+    return rows.groupBy(*keys, "group_id").agg(F.max_by(F.struct("label", "canonical", "section"), best).alias("m"), F.bool_or("is_subtotal").alias("is_subtotal"), F.count("*").alias("members")).select(*keys, "group_id", "m.*", "is_subtotal", "members")
+
+
+def ensemble(rows: DataFrame, cells: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx"), tolerance: float = 1.0) -> DataFrame:
+    """Any number of readings (rows, cells by source) voted cell by cell: (keys, group_id, col_name, winner and its flags)."""
+    grouped = row_groups(rows, weights, keys).select(*keys, "source", "row_idx", "group_id")
+    placed = cells.join(grouped, [*keys, "source", "row_idx"]).join(F.broadcast(weights), "source")
+    return vote_cells(placed, [*keys, "group_id", "col_name"], tolerance)
+
+
+def arbitrate(voted: DataFrame, verdicts: DataFrame, keys) -> DataFrame:
+    """Red numeric conflicts settled by an arbiter's verdicts (keys, verdict): yellow, provenance arbiter."""
+    out = voted.join(verdicts.select(*keys, "verdict"), list(keys), "left")
+    settled = (F.col("flag") == "red") & F.col("verdict").isNotNull()
+    return out.withColumns({"value": F.when(settled, F.col("verdict")).otherwise(F.col("value")), "provenance": F.when(settled, "arbiter").otherwise(F.col("provenance")), "flag": F.when(settled, "yellow").otherwise(F.col("flag"))}).drop("verdict")
+
+
+def union_columns(a: Column, b: Column) -> Column:
+    """Column names of both rows, a's first, each once."""
+    return F.array_distinct(F.concat(a, b))
+
+
+def with_provenance(rows: DataFrame, provenance: str) -> DataFrame:
+    return rows.withColumn("provenance", F.lit(provenance))
