@@ -5,8 +5,8 @@ of a hashed embedding table, a text the mean of its rows, and two softmax weight
 the label. Embeddings and weights are trained together by mini-batches of gradient descent. A misspelling that training never saw
 shares most of its n-grams with the word, so it gets nearly its vector.
 
-Training takes at most `MAX_ROWS` labelled texts of each class, those of smallest id hash; their n-gram counts, not
-their texts, reach the driver. With the parameters fixed, the score's logit is linear in the bag, so scoring looks up
+Training takes at most `MAX_TOXIC` texts with the label and `MAX_OTHER` without, those of smallest id hash, and corrects
+the bias by the label's share among all labels; n-gram counts, not texts, reach the driver. With the parameters fixed, the score's logit is linear in the bag, so scoring looks up
 one number an n-gram; whole texts are scored, in pieces of bounded size.
 
 Defined results: null and empty texts have an empty bag and get the score of the bias alone; labels other than 0 and 1
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 #: Rows of the embedding table (a power of two), its width, and n-gram lengths.
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 8, (3, 4, 5, 6)
-#: Labelled texts of each class used in training, at most.
-MAX_ROWS = 2500
+#: Labelled texts with and without the label used in training, at most.
+MAX_TOXIC, MAX_OTHER = 1250, 5000
 EPOCHS, BATCH, RATE, SCALE, SEED = 8, 32, 1.0, 100.0, 7
 #: Characters that are cut into n-grams at once.
 PIECE = 1 << 18
@@ -143,17 +143,23 @@ def held_out(c="doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", max_rows: int = MAX_ROWS) -> Model:
-    """Train on the labelled rows that are not held out, at most max_rows of each class."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
+    """Train on the labelled rows that are not held out, at most max_toxic and max_other of the two classes."""
     named = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     usable = named.groupBy("id").agg(F.max("label").alias("label")).filter(~held_out("id"))
-    picked = [usable.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(max_rows) for v in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded: 2 x max_rows ids
+    n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    picked = [usable.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most) for v, most in ((0, max_other), (1, max_toxic))]
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded: max_toxic + max_other ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(chosen, "id")
     found = rows.select("id", "label", _bags("text").alias("bag")).select("id", "label", "bag.at", "bag.share").toArrow()
     found = found.sort_by([("id", "ascending"), ("at", "ascending")])
     bags = [(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(s.as_py(), "<f4")) for a, s in zip(found["at"], found["share"])]
-    return train(bags, found["label"].to_numpy().astype(np.int64))
+    marks = found["label"].to_numpy().astype(np.int64)
+    del found
+    model = train(bags, marks)
+    if 0 < marks.sum() < len(marks) and 0 < toxic < n:
+        model.bias += float(np.log(toxic / (n - toxic)) - np.log(marks.sum() / (len(marks) - marks.sum())))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
