@@ -17,3 +17,9 @@ def rank_flag(flag: Column) -> Column:
 
 def flag_of(rank: Column) -> Column:
     return F.when(rank == 2, "red").when(rank == 1, "yellow").otherwise("green")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to keep them busy (one row group is one task); else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df

@@ -73,11 +73,16 @@ def subtotal(label: Column, known: Column) -> Column:
     return F.coalesce(known, F.lit(False)) | low.rlike(r"^(total\s+des?|sous[\s-]total|totaux)\b") | (low == "total")
 
 
+def gate_status(category: Column, confidence: Column, cut: float = 0.70) -> Column:
+    """Unclassified or uncertain documents are rejected."""
+    return F.when((category == "Autre") | (confidence < cut), "REJECTED").otherwise("ACCEPTED")
+
+
 def classification_gate(docs: DataFrame, cut: float = 0.70) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): unclassified or uncertain documents are rejected, tier -1."""
-    bad = (F.col("category") == "Autre") | (F.col("confidence") < cut)
-    rejected = docs.filter(bad).withColumns({"tier": F.lit(-1), "status": F.lit("REJECTED")})
-    return docs.filter(~bad), rejected
+    """(accepted, rejected) for different sinks; rejected ones get tier -1 and their status."""
+    status = gate_status(F.col("category"), F.col("confidence"), cut)
+    rejected = docs.filter(status == "REJECTED").withColumns({"tier": F.lit(-1), "status": F.lit("REJECTED")})
+    return docs.filter(status == "ACCEPTED"), rejected
 
 
 def upload_status(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..functions.columns import computed_once
 
 TABLE = ["doc_id", "source", "table_idx"]
 
@@ -109,9 +110,16 @@ def correct_variation(rows: DataFrame, tolerance: float = 5.0) -> DataFrame:
 
 def explode_merged_rows(rows: DataFrame, keys, columns, parts: int = 3) -> DataFrame:
     """Rows in which a cell holds several lines become one row a line; shorter cells pad with '', single values repeat."""
-    split = {c: F.split(F.coalesce(F.col(c), F.lit("")), "\n") for c in columns}
-    most = F.greatest(*[F.size(s) for s in split.values()], F.lit(1))
-    n = F.when(most >= parts, most).otherwise(1)
-    spread = rows.select(*keys, *columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("line"), n.alias("__n"))
-    cell = lambda c: F.when(F.col("__n") == 1, F.col(c)).when(F.size(split[c]) == 1, F.col(c)).otherwise(F.coalesce(F.get(split[c], F.col("line")), F.lit("")))
-    return spread.select(*keys, "line", *[cell(c).alias(c) for c in columns])
+    parts_of = {c: f"__parts_{i}" for i, c in enumerate(columns)}
+    split = rows.select(*keys, *columns)
+    for c, name in parts_of.items():  # once a row: the lambda below only picks from arrays
+        split = computed_once(split, name, F.split(F.coalesce(F.col(c), F.lit("")), "\n"))
+    most = F.greatest(*[F.size(n) for n in parts_of.values()], F.lit(1))
+    split = split.withColumn("__n", F.when(most >= parts, most).otherwise(1))
+
+    def cell(c: str, i: Column) -> Column:
+        own = F.col(parts_of[c])
+        return F.when((F.col("__n") == 1) | (F.size(own) == 1), F.col(c)).otherwise(F.coalesce(F.get(own, i), F.lit("")))
+
+    lines = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.struct(*[cell(c, i).alias(c) for c in columns]))
+    return split.select(*keys, F.posexplode(lines).alias("line", "__cells")).select(*keys, "line", *[F.col(f"__cells.{c}").alias(c) for c in columns])

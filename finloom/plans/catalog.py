@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, quality, similarity, text
-from ..functions.columns import computed_once
+from ..functions.columns import spread
 from ..operators import align, filters, match, ordered, route, rules, store
 
 QUERIES: dict = {}
@@ -54,11 +54,10 @@ q as (select doc_id, round(lexical, 6) lexical, round(num, 6) num, round(bits, 6
 
 
 def _quality_rows(docs: DataFrame) -> DataFrame:
-    low = computed_once(docs, "low", F.lower("text"))
-    base = low.withColumns({"n": F.length("text"), "lexical": quality.lexical_density(F.col("text")), "num": quality.numeric_density(F.col("text"))})
-    bits = computed_once(base, "bits", quality.char_entropy(F.col("low"), F.col("n")))
+    base = spread(docs).withColumns({"n": F.length("text"), "lexical": quality.lexical_density(F.col("text")), "num": quality.numeric_density(F.col("text"))})
+    bits = base.withColumn("bits", quality.char_entropy(F.col("text")))
     ent = quality.entropy_band(F.col("bits"), F.col("n"))
-    return bits.withColumn("heuristic", F.round(quality.heuristic(F.col("lexical"), F.col("num"), ent), 6)).drop("low")
+    return bits.withColumn("heuristic", F.round(quality.heuristic(F.col("lexical"), F.col("num"), ent), 6))
 
 
 @query(_SCORES + """select doc_id, lexical, num, bits, heuristic, case when heuristic >= 0.85 then 'EXCELLENT' when heuristic >= 0.65 then 'GOOD' when heuristic >= 0.40 then 'FAIR' else 'POOR' end grade,
@@ -205,14 +204,15 @@ case when a + b + c = 0 or least(1.0, 1.2 * greatest(a, b, c) / (a + b + c)) < 0
 def doc_classify(spark: SparkSession, d: str) -> DataFrame:
     """Boosted class with confidence, and the strict gate; classes are languages here, ties in order."""
     low = F.lower("text")
-    score = {"fr": " les | des ", "en": " the ", "de": " und | der "}
-    rows = _t(spark, d, "documents").select("doc_id", *[(3 * low.rlike(p).cast("int")).cast("double").alias(n) for n, p in score.items()])
-    top, total = F.greatest(*score), F.expr("fr + en + de")
+    words = {"fr": (" les ", " des "), "en": (" the ",), "de": (" und ", " der ")}
+    any_of = lambda ws: F.greatest(*[F.contains(low, F.lit(w)) for w in ws], F.lit(False))
+    rows = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[(3 * any_of(ws).cast("int")).cast("double").alias(n) for n, ws in words.items()])
+    top, total = F.greatest(*words), F.expr("fr + en + de")
     label = F.when(total == 0, "unknown").when(F.col("fr") == top, "fr").when(F.col("en") == top, "en").otherwise("de")
     confidence = F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), 1.2 * top / F.nullif(total, F.lit(0.0))))
-    named = rows.select("doc_id", label.alias("label"), F.round(confidence, 6).alias("confidence"), F.when(total == 0, "Autre").otherwise(label).alias("category"))
-    good, bad = filters.classification_gate(named)
-    return good.withColumn("status", F.lit("ACCEPTED")).drop("category").unionByName(bad.drop("category", "tier"))
+    named = rows.select("doc_id", label.alias("label"), F.round(confidence, 6).alias("confidence"))
+    category = F.when(F.col("label") == "unknown", "Autre").otherwise(F.col("label"))
+    return named.withColumn("status", filters.gate_status(category, F.col("confidence")))
 
 
 # --- order --------------------------------------------------------------------------------------------------------
@@ -271,7 +271,7 @@ def merge_pages(spark: SparkSession, d: str) -> DataFrame:
 select doc_id, cast(i as integer) line, md5(case when k = 1 then array_to_string(l, chr(10)) else l[i + 1] end) cell, lang from (select *, unnest(range(k)) i from n)""")
 def explode_merged(spark: SparkSession, d: str) -> DataFrame:
     """Texts of three lines or more, a row a line; the language repeats."""
-    rows = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    rows = spread(_t(spark, d, "documents").select("doc_id", "text", "lang"))
     return ordered.explode_merged_rows(rows, ["doc_id"], ["text", "lang"]).select("doc_id", "line", F.md5("text").alias("cell"), "lang")
 
 
