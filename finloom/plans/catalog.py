@@ -297,7 +297,7 @@ _SIDES = """with c as (select c_nationkey k, cast(sum(cast(c_acctbal as decimal(
 b as (select n_name nation, assets, liabilities from c full join s using (k) join nation on n_nationkey = k)"""
 
 
-@query(_SIDES + """ select nation, 'V1-001 Balance Sheet Balance' check_name, abs(assets - liabilities) <= greatest(abs(assets) * 0.01, 1) passed, liabilities expected, assets actual, round(abs(assets - liabilities), 2) difference from b where coalesce(assets, 0) <> 0""")
+@query(_SIDES + """ select nation, 'V1-001 Balance Sheet Balance' check_name, abs(assets - coalesce(liabilities, 0)) <= greatest(abs(assets) * 0.01, 1) passed, coalesce(liabilities, 0) expected, assets actual, round(abs(assets - coalesce(liabilities, 0)), 2) difference from b where coalesce(assets, 0) <> 0""")
 def balance_equation(spark: SparkSession, d: str) -> DataFrame:
     """Customers' balances as assets against suppliers' as liabilities, by the engine's balance rule."""
     rows = _sides(spark, d).select("nation", F.explode(F.array(F.struct(F.lit("Total actif").alias("label"), F.lit(0).alias("row_idx"), F.col("assets").alias("value")), F.struct(F.lit("Total passif").alias("label"), F.lit(1).alias("row_idx"), F.coalesce("liabilities", F.lit(0.0)).alias("value")))).alias("r")).select("nation", "r.*")
@@ -334,7 +334,7 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
     return found.select("region", F.round("actual", 2).alias("working_capital"), "passed")
 
 
-@query(_SIDES + """, k as (select nation, 3 w, 'CRITICAL' s, abs(assets - liabilities) <= greatest(abs(assets) * 0.01, 1) p from b where coalesce(assets, 0) <> 0 union all select nation, 1, 'WARNING', assets - liabilities >= 0 from b)
+@query(_SIDES + """, k as (select nation, 3 w, 'CRITICAL' s, abs(assets - coalesce(liabilities, 0)) <= greatest(abs(assets) * 0.01, 1) p from b where coalesce(assets, 0) <> 0 union all select nation, 1, 'WARNING', coalesce(assets - liabilities >= 0, true) from b)
 select nation, count(*) total, count(*) filter (p) passed, count(*) filter (not p) failed, count(*) filter (not p and s = 'CRITICAL') critical, round(sum(case when p then w else 0 end)::double / sum(w), 6) score from k group by 1""")
 def severity_report(spark: SparkSession, d: str) -> DataFrame:
     sides = _sides(spark, d)
