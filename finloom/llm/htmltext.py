@@ -52,14 +52,14 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
-#: Words of class and id (split at what is no letter, and at capitals) that mark what is no article.
+#: Words (split at what is no letter, and at capitals) that open or end a class or id of what is no article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer masthead comment comments disqus respond cookie cookies consent gdpr notice newsletter subscribe subscription signup login "
-    "popup modal overlay share sharing social related recommended widget pagination pager toolbar skip copyright".split()
+    "popup modal overlay share sharing social related recommended widget pagination pager toolbar skip copyright alert search".split()
 )
-#: Class words that mark the article itself and outweigh the marks above.
-ARTICLE = frozenset("article post entry story main content".split())
+#: Classes and ids of the article itself, which outweigh the marks above, and words before the state of an element.
+ARTICLE, STATES = frozenset("article post entry story main content".split()), frozenset("has with no not without is".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>|/?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -89,8 +89,13 @@ def _is_cut(tag: str, token: str) -> bool:
     given = _attributes(token, tag)
     if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES or "display:none" in given.get("style", "").replace(" ", ""):
         return True
-    words = {w.lower() for w in _WORDS.findall(given.get("class", "") + " " + given.get("id", ""))}
-    return bool(words & MARKS) and not words & ARTICLE - {"main", "content"} and not words >= {"main", "content"}
+    marked = False
+    for name in (given.get("class", "") + " " + given.get("id", "")).split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if len(words) == 1 and words[0] in ARTICLE:
+            return False
+        marked |= bool(words) and words[0] not in STATES and (words[0] in MARKS or words[-1] in MARKS)
+    return marked
 
 
 def parse(page: str) -> Node:
