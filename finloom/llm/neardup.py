@@ -118,20 +118,14 @@ def prob_minhash(doc: np.ndarray, shingles: np.ndarray, weights: np.ndarray, tex
 
 def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (texts x bands, int64) and the number of distinct shingles of each text."""
-    out, sizes, at = np.zeros((len(texts), bands), np.int64), np.zeros(len(texts), np.int64), 0
-    while at < len(texts):
-        end, held, raw = at, 0, []
-        while end < len(texts) and held < CHUNK_BYTES:
-            raw.append((texts[end] or "").lower().encode())
-            held += len(raw[-1])
-            end += 1
-        doc, shingles, counts = shingle_hashes(raw)
-        registers = prob_minhash(doc, shingles, 1 + np.log(counts), end - at, bands * rows)
-        keys = registers.reshape(end - at, bands, rows)
-        salt = mix(np.arange(1, bands + 1, dtype=_U))
+    out, sizes = np.zeros((len(texts), bands), np.int64), np.zeros(len(texts), np.int64)
+    salt = mix(np.arange(1, bands + 1, dtype=_U))
+    for at, raw in _chunks(texts):
+        end = at + len(raw)
+        doc, hashes, counts = shingle_hashes(raw)
+        keys = prob_minhash(doc, hashes, 1 + np.log(counts), end - at, bands * rows).reshape(end - at, bands, rows)
         out[at:end] = mix((keys * _STEP[:rows]).sum(2, dtype=_U) + salt).view(np.int64)
         sizes[at:end] = np.bincount(doc, minlength=end - at)
-        at = end
     return out, sizes
 
 
@@ -146,20 +140,41 @@ def similarity(a: frozenset, b: frozenset) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Lower-cased texts in pieces of about CHUNK_BYTES, each with its place."""
+    at = 0
+    while at < len(texts):
+        end, held, raw = at, 0, []
+        while end < len(texts) and held < CHUNK_BYTES:
+            raw.append((texts[end] or "").lower().encode())
+            held += len(raw[-1])
+            end += 1
+        yield at, raw
+        at = end
+
+
 def spanning_links(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
     """Links of a tile (node, l, outside, text) between components, as many as it takes to connect them.
 
-    Every text becomes a bit set over the tile's shingles, so a pair costs one AND and one bit count.
+    Every text becomes a bit set over the shingle hashes that another text of the tile has too, so a pair costs one AND
+    and one bit count; a pair that passes is verified on the shingles themselves.
     """
-    place: dict = {}
-    known: dict[bytes, tuple[int, int]] = {}
-    for node, text in zip(rows["node"], rows["text"]):
-        if node not in known:
-            own = [place.setdefault(s, len(place)) for s in shingles(text)]
-            bits = bytearray(len(place) // 8 + 1)
-            for i in own:
-                bits[i >> 3] |= 1 << (i & 7)
-            known[node] = (int.from_bytes(bits, "little"), len(own))
+    texts = rows.drop_duplicates("node")
+    place = {n: i for i, n in enumerate(texts["node"])}
+    text = list(texts["text"])
+    found = [(doc + at, s) for at, raw in _chunks(text) for doc, s, _ in [shingle_hashes(raw)]]
+    doc, s = (np.concatenate(x) for x in zip(*found))
+    sizes = np.bincount(doc, minlength=len(text)).tolist()
+    _, ids, n = np.unique(s, return_inverse=True, return_counts=True)
+    common = n > 1
+    number = np.cumsum(common) - 1
+    edges = np.searchsorted(doc, np.arange(len(text) + 1))
+    bits = []
+    for i in range(len(text)):
+        own = ids[edges[i] : edges[i + 1]]
+        flags = np.zeros(int(common.sum()), np.uint8)
+        flags[number[own[common[own]]]] = 1
+        bits.append(int.from_bytes(np.packbits(flags).tobytes()))
     root: dict[bytes, bytes] = {l: l for l in rows["l"]}
 
     def find(l: bytes) -> bytes:
@@ -168,13 +183,16 @@ def spanning_links(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         return l
 
     out = []
-    members = [(n, l, *known[n]) for n, l, o in zip(rows["node"], rows["l"], rows["outside"]) if not o]
-    for a, la, bits, n in [(x, l, *known[x]) for x, l, o in zip(rows["node"], rows["l"], rows["outside"]) if o]:
-        top = find(la)
-        for b, lb, other, m in members:
-            if n >= THRESHOLD * m and m >= THRESHOLD * n and la != lb:
-                both = (bits & other).bit_count()
-                if both >= THRESHOLD * (n + m - both) and find(lb) != top:
+    sides = [(n, l, o, place[n]) for n, l, o in zip(rows["node"], rows["l"], rows["outside"])]
+    members = [(n, l, bits[i], sizes[i], i) for n, l, o, i in sides if not o]
+    for a, la, o, i in sides:
+        if not o:
+            continue
+        top, own, n = find(la), bits[i], sizes[i]
+        for b, lb, other, m, j in members:
+            if la != lb and n >= THRESHOLD * m and m >= THRESHOLD * n:
+                both = (own & other).bit_count()
+                if both >= THRESHOLD * (n + m - both) and find(lb) != top and similarity(shingles(text[i]), shingles(text[j])) >= THRESHOLD:
                     root[find(lb)] = top
                     out.append((min(a, b), max(a, b)))
     return out
