@@ -20,6 +20,12 @@ def dimension(dim: DataFrame) -> DataFrame:
     return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
 
 
+def pinned(dim: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A small dimension computed once and carried as literal rows; a larger one stays as it is."""
+    found = dim.limit(rows + 1).collect()
+    return dim.sparkSession.createDataFrame(found, dim.schema) if len(found) <= rows else dim
+
+
 def term_index(terms: DataFrame) -> DataFrame:
     """(form, kind, canonical, statement, section, ord): normal forms of canonical labels, then of variations; first wins."""
     canonical = terms.select(text.normalize(F.col("canonical")).alias("form"), F.lit(0).alias("kind"), "canonical", "statement", "section", "ord")
@@ -68,7 +74,7 @@ def fuzzy_match(labels: DataFrame, terms: DataFrame, approved: DataFrame | None
     (0.98), token-sorted ratio, partial ratio; what is left is custom, with the best score from 75 up as confidence.
     Similarities are computed once for each distinct label and candidate term.
     """
-    index = term_index(terms)
+    index = pinned(term_index(terms))
     rows = labels.withColumn("form", text.normalize(F.coalesce(F.col("label"), F.lit(""))))
     forms = rows.select("form").distinct()
     if customs is not None:
