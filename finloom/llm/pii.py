@@ -22,12 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, CONTEXT_CHARS = 0.6, 40
+#: Least score of further kinds, code points of context (since the match before), outputs that a fold gathers at a time.
+THRESHOLD, CONTEXT_CHARS, FOLD = 0.6, 40, 256
 
-#: The base patterns, as contracted, with possessive quantifiers.
+#: The base patterns, as contracted, with possessive quantifiers; card runs of 12 digits or more only.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Further kinds.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
@@ -78,21 +79,31 @@ KINDS = (
 )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name bound to value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fold(items: str, state: str, kind: str, step: str) -> str:
+    """SQL: outputs of a left fold over items; step maps (a, p) to a struct of the state `at` and the next output `x`,
+    an array of none or one. Outputs gather in blocks, so that many items don't copy the growing array each time."""
+    inner = f"aggregate(blk, named_struct('at', acc.at, 'out', {kind}), (a, p) -> {_let('n', step, 'named_struct(' + chr(39) + 'at' + chr(39) + ', n.at, ' + chr(39) + 'out' + chr(39) + ', concat(a.out, n.x))')})"
+    outer = _let("r", inner, "named_struct('at', r.at, 'out', concat(acc.out, r.out))")
+    blocks = _let("ps", items, f"transform(sequence(0, greatest(size(ps) - 1, 0) div {FOLD}), i -> slice(ps, i * {FOLD} + 1, {FOLD}))")
+    return f"aggregate({blocks}, named_struct('at', {state}, 'out', {kind}), (acc, blk) -> {outer}, acc -> acc.out)"
+
+
 def _spans(kind: Kind, order: int, text: str) -> str:
     """SQL for the kind's valid spans in the text: array of (start, ord, end, kind, base, score)."""
     rx = _sql(kind.pattern)
-    places = (
-        f"aggregate(zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), array('')), (g, h) -> named_struct('gap', g, 'hit', h)), "
-        "named_struct('at', 0, 'out', cast(array() as array<struct<s:int,x:string>>)), "
-        "(a, p) -> named_struct('at', a.at + char_length(p.gap) + char_length(p.hit), "
-        "'out', case when p.hit = '' then a.out else concat(a.out, array(named_struct('s', a.at + char_length(p.gap), 'x', p.hit))) end), a -> a.out)"
-    )
+    pieces = f"zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), array('')), (g, h) -> named_struct('n', char_length(g), 'c', right(g, {CONTEXT_CHARS}), 'x', h))"
+    none = "cast(array() as array<struct<s:int,c:string,x:string>>)"
+    step = f"named_struct('at', a.at + p.n + char_length(p.x), 'x', case when p.x = '' then {none} else array(named_struct('s', a.at + p.n, 'c', p.c, 'x', p.x)) end)"
     valid = kind.valid.replace("{x}", "m.x")
-    before = f"substring({text}, greatest(m.s - {CONTEXT_CHARS}, 0) + 1, least(m.s, {CONTEXT_CHARS}))"
-    score = f"least(1.0D, {kind.score}D + case when rlike({before}, '{kind.context}') then 0.5D else 0.0D end)"
-    found = f"transform(filter({places}, m -> {valid}), m -> named_struct('start', m.s, 'ord', {order}, 'end', m.s + char_length(m.x), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {score}))"
+    score = f"least(1.0D, {kind.score}D + case when rlike(m.c, '{kind.context}') then 0.5D else 0.0D end)"
+    found = f"transform(filter({_fold(pieces, '0', none, step)}, m -> {valid}), m -> named_struct('start', m.s, 'ord', {order}, 'end', m.s + char_length(m.x), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {score}))"
     empty = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string,base:boolean,score:double>>)"
-    return f"case when {kind.has.replace("{t}", text)} then {found} else {empty} end"
+    return f"case when {kind.has.replace('{t}', text)} then {found} else {empty} end"
 
 
 def find_pii(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,8 +117,9 @@ def find_pii(docs: DataFrame, text: str = "text", kinds=KINDS, threshold: float
 
 def mask_pii(found: DataFrame, text: str = "text") -> DataFrame:
     """The texts of find_pii's result with every span replaced by [KIND]; overlapping spans by the first one's."""
-    cut = F.expr(
-        f"aggregate(pii, named_struct('at', 0, 'out', ''), (a, s) -> case when s.start < a.at then a else named_struct('at', s.end, "
-        f"'out', concat(a.out, substring({text}, a.at + 1, s.start - a.at), '[', upper(s.kind), ']')) end, a -> concat(a.out, substring({text}, a.at + 1)))"
-    )
+    none = "cast(array() as array<struct<start:int,end:int,kind:string>>)"
+    step = f"case when p.start < a.at then named_struct('at', a.at, 'x', {none}) else named_struct('at', p.end, 'x', array(named_struct('start', p.start, 'end', p.end, 'kind', p.kind))) end"
+    part = "concat('[', upper(s.kind), ']', array_join(slice(ch, s.end + 1, case when i < size(k) - 1 then k[i + 1].start else size(ch) end - s.end), ''))"
+    body = _let("k", _fold("pii", "0", none, step), f"concat(array_join(slice(ch, 1, k[0].start), ''), array_join(transform(k, (s, i) -> {part}), ''))")
+    cut = F.expr(_let("ch", f"filter(split({text}, ''), c -> c <> '')", body))
     return found.withColumn(text, F.when(F.size("pii") == 0, F.col(text)).otherwise(cut))
