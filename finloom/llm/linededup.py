@@ -26,11 +26,9 @@ _LAST = 2**63 - 1
 
 def line_rows(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each line with a key: document (__l_doc, __l_dig), __l_pos and two 64-bit hashes of the key."""
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__l_doc"),
-        digest(text).alias("__l_dig"),
-        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("__l_pos", "line"),
-    )
+    # the digest stands below the generator: above, it would read the whole text again for every line
+    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__l_doc"), digest(text).alias("__l_dig"), F.coalesce(F.col(text), F.lit("")).alias("__l_text"))
+    lines = read.select("__l_doc", "__l_dig", F.posexplode(F.split("__l_text", "\n", -1)).alias("__l_pos", "line"))
     stripped = lines.select("__l_doc", "__l_dig", "__l_pos", F.btrim("line", F.lit(BLANKS)).alias("line")).filter(F.char_length("line") >= min_chars)
     key = stripped.select("__l_doc", "__l_dig", "__l_pos", lower_ascii(F.col("line")).alias("key"))
     return key.select("__l_doc", "__l_dig", "__l_pos", F.xxhash64("key").alias("__l_h"), F.xxhash64(F.lit(1), F.col("key")).alias("__l_g"))
