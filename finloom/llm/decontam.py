@@ -51,6 +51,16 @@ class Queries:
         self.windows = list(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
 
+    def parts(self) -> tuple:
+        """Plain data for a broadcast."""
+        return self.vocabulary, self.windows, self.owners
+
+    @classmethod
+    def of(cls, parts: tuple) -> Queries:
+        out = cls([])
+        out.vocabulary, out.windows, out.owners = parts
+        return out
+
 
 class Shard:
     """Positional inverted index of some documents over a vocabulary."""
@@ -164,10 +174,11 @@ def _searcher(shared, window: int, slack: int):
 
     @F.pandas_udf(_FOUND)
     def block(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        queries = Queries.of(shared.value)
         for texts in batches:
             rows = []
             for a, b in _shards(texts, SHARD_WORDS):
-                for n, runs, items, near in zip(*search(list(texts[a:b]), shared.value, window, slack)):
+                for n, runs, items, near in zip(*search(list(texts[a:b]), queries, window, slack)):
                     rows.append((n, [list(r) for r in runs], sorted(items), sorted(near)))
             yield pd.DataFrame(rows, columns=["n_words", "runs", "items", "near_items"])
 
@@ -194,7 +205,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     out = docs.drop("n_words", "hit_runs", "items", "near_items")
     names = []
     for i, queries in enumerate(blocks(benchmark, window, block_windows)):
-        block = _searcher(spark.sparkContext.broadcast(queries), window, slack)
+        block = _searcher(spark.sparkContext.broadcast(queries.parts()), window, slack)
         names.append(f"__d_{i}")
         out = out.withColumn(names[-1], block(F.col(text)))
     runs = F.concat(*[F.col(f"{n}.runs") for n in names])

@@ -22,7 +22,6 @@ ids last; an empty table gives an empty table. Extra columns are ignored by `cla
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,12 +55,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n, _U(b), _U)])) for b in (base, pow(base, -1, 2**64)))
+    if n not in _known_powers:
+        base = 0x9E3779B97F4A7C15
+        _known_powers.clear()
+        with np.errstate(over="ignore"):
+            _known_powers[n] = tuple(np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n, _U(b), _U)])) for b in (base, pow(base, -1, 2**64)))
+    return _known_powers[n]
 
 
 def shingle_hashes(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
