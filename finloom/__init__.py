@@ -1 +1,8 @@
 """Spark-native statement analytics and corpus engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so workers need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
