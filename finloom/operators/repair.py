@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import similarity, text
+from ..functions import text
+from ..functions.similarity import break_words, nearest
+from ..functions.text import ACCENTED, PLAIN
 
 #: Words that a vocabulary may have.
 VOCABULARY = 200_000
@@ -36,12 +38,12 @@ class Vocabulary:
 
     @staticmethod
     def normal(word: str) -> str:
-        table = str.maketrans(text.ACCENTED, text.PLAIN)
+        table = str.maketrans(ACCENTED, PLAIN)
         return word.lower().translate(table).upper()
 
     def breaks(self, joined: str, reach: int = 1) -> list[str] | None:
         """Words that spell joined: exact ones if possible, else of least total distance, then fewest."""
-        exact = similarity.break_words(joined, self.words, self.longest)
+        exact = break_words(joined, self.words, self.longest)
         if exact is not None:
             return exact
         best: list[tuple[int, int, list[str]] | None] = [(0, 0, [])] + [None] * len(joined)
@@ -50,7 +52,7 @@ class Vocabulary:
                 if best[begin] is None:
                     continue
                 piece = joined[begin:end]
-                hit = (piece, 0) if piece in self.words else similarity.nearest(piece, self.by_length, reach)
+                hit = (piece, 0) if piece in self.words else nearest(piece, self.by_length, reach)
                 if hit:
                     d, n, words = best[begin]
                     new = (d + hit[1], n + 1, words + [hit[0]])
@@ -70,12 +72,12 @@ class Vocabulary:
         if form in self.words:
             found = [form]
         elif len(form) <= 4:
-            hit = similarity.nearest(form, self.by_length, 1)
+            hit = nearest(form, self.by_length, 1)
             found = [hit[0]] if hit else None
         else:
             found = self.breaks(form)
             if found is None:
-                hit = similarity.nearest(form, self.by_length, 2)
+                hit = nearest(form, self.by_length, 2)
                 found = [hit[0]] if hit else None
         if found is None:
             return word
