@@ -1,9 +1,10 @@
 """MinHash near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text is the bag of its five-word shingles (blank-separated words, lower-cased; shorter texts are one shingle) with
-weights 1 + ln(count). Every shingle is a Poisson process of arrivals with its weight as rate, each arrival at a random
-one of m registers; a register keeps the shingle that arrives first. Two texts agree in a register with the probability
-Jaccard similarity of their weighted shingles. Arrivals later than the latest first arrival of all registers change
+A text is the set of its five-word shingles (blank-separated words, lower-cased; shorter texts are one shingle). Every
+shingle is a Poisson process of arrivals with its weight as rate, each arrival at a random one of m registers; a
+register keeps the shingle that arrives first. Two texts agree in a register with the probability Jaccard similarity of
+their weighted shingles. All weights are equal here, so candidates are sought by the very measure that links are
+verified by, however often a shingle repeats. Arrivals later than the latest first arrival of all registers change
 nothing, so a shingle is done as soon as its next arrival is that late (early termination); long texts need little more
 than one arrival a shingle.
 
@@ -126,8 +127,8 @@ def sketch(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> tup
     salt = mix(np.arange(1, bands + 1, dtype=_U))
     for at, raw in _chunks(texts):
         end = at + len(raw)
-        doc, hashes, counts = shingle_hashes(raw)
-        keys = prob_minhash(doc, hashes, 1 + np.log(counts), end - at, bands * rows).reshape(end - at, bands, rows)
+        doc, hashes, _ = shingle_hashes(raw)
+        keys = prob_minhash(doc, hashes, np.ones(len(hashes)), end - at, bands * rows).reshape(end - at, bands, rows)
         out[at:end] = mix((keys * _STEP[:rows]).sum(2, dtype=_U) + salt).view(np.int64)
         sizes[at:end] = np.bincount(doc, minlength=end - at)
     return out, sizes

@@ -334,6 +334,18 @@ def test_near_duplicate_tiles(spark, monkeypatch):
     assert got == brute.classes(list(enumerate(texts)))
 
 
+def test_near_duplicates_repeated_shingles():
+    rnd = random.Random(12)
+    for repeats in (20, 60, 200, 1000):
+        texts = []
+        for _ in range(15):
+            base = words(rnd, 130, 10**6)
+            texts += [base, base + (" " + words(rnd, 22, 10**6)) * repeats]
+        assert all(neardup.similarity(neardup.shingles(a), neardup.shingles(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+        bands, _ = neardup.sketch(texts)
+        assert (bands[::2] == bands[1::2]).any(1).all()
+
+
 def test_prob_minhash_estimates():
     import numpy as np
 
