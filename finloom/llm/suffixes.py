@@ -19,8 +19,9 @@ one is removed. Removed runs go back to the documents' buckets, by hash of the i
 Memory is bounded by chunk, range and bucket, whose number grows with the bytes of the input.
 
 Defined results: null and empty texts have no bytes; texts under 50 bytes lose none; equal strings within one document
-stay; rows that share an id are one document for the comparison and are told apart by their text; a null id comes last;
-an empty table gives an empty table; extra columns are ignored.
+stay; rows that share an id are one document for the comparison and are told apart by a 64-bit digest of their text, which
+only such rows carry (and those whose id falls into the same slot of a bitmap); a null id comes last; an empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SPAN, GRAM = 50, 8
 LEFT = SPAN - GRAM  # bytes before an anchor at most
 #: Bytes of a chunk, records of a run, bytes of text to a range and to a bucket, positions hashed at once.
 CHUNK, RUN, RANGE, BLOCK = 8_000_000, 400_000, 4_000_000, 1 << 20
+#: Slots that ids are hashed to, one bit each: whether rows share an id of the slot (a power of two).
+SLOTS = 1 << 22
 _LAST = 2**63 - 1
 _U = np.uint64
 _COEF = np.random.default_rng(5).integers(0, 2**63, SPAN + LEFT, dtype=np.uint64) * _U(2) + _U(1)
@@ -107,7 +110,7 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-_RUN = "u1 u1 u1 u1 u1 <u4 <u4 <u4 <i8 <u2"
+_RUN = "u1 u1 u1 u1 u1 <u4 <u4 <u4 <i8 <i8"
 
 
 def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, tags: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -148,7 +151,7 @@ def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarr
             lefts = r[:, SPAN:-2][np.arange(LEFT) < r[:, -2:-1]]
             where = np.repeat(new[pick], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             used, table = np.unique(doc[where], return_inverse=True)
-            yield int(p), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, count.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used].astype("<u2")])
+            yield int(p), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, count.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used]])
 
 
 def decode_run(blob: bytes) -> dict[str, np.ndarray]:
@@ -249,7 +252,7 @@ def _prefixes(rows: np.ndarray) -> np.ndarray:
 def repeats_of_range(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, tag, begin, end) of removed runs found in one range."""
     runs = [decode_run(b) for b in blobs]
-    none = (np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     if not runs:
         return none
     bounds = np.cumsum([0] + [len(r["lo"]) for r in runs])
@@ -320,13 +323,15 @@ def repeats_of_range(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return doc[new], tag[new], at[new], at[stop] + SPAN
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of a batch (id, tag, text): bytes, starts, ends, ids, tags; ordered by id."""
+def _columns(batch: pa.RecordBatch, shared: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of a batch (id, digest, text): bytes, starts, ends, ids, tags; ordered by id. The tag is the digest where
+    the id's slot is marked as shared by rows, else 0."""
     batch = batch.take(pc.sort_indices(batch, [("id", "ascending")]))
     text = pc.fill_null(batch.column("text"), b"").cast(pa.large_binary())
     offsets = np.frombuffer(text.buffers()[1], "<i8")[text.offset : text.offset + len(text) + 1]
     data = memoryview(text.buffers()[2] or b"")
-    ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
+    ids = batch.column("id").to_numpy()
+    tags = np.where(shared[_bucket(ids, SLOTS)], batch.column("digest").to_numpy(), 0)
     a = 0
     while a < len(text):
         b = max(int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1, a + 1)
@@ -349,13 +354,13 @@ def _by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 def _settle(packs: list[bytes], found: list[bytes]) -> pd.DataFrame:
     """The results of one bucket's documents."""
-    parts = [_unpack(b, "<i8 <u2 <i8 <i8") for b in found]
+    parts = [_unpack(b, "<i8 <i8 <i8 <i8") for b in found]
     doc, tag, begin, end = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
     order = np.lexsort((begin, tag, doc))
     doc, tag, begin, end = doc[order], tag[order], begin[order], end[order]
     rows = []
     for pack in packs:
-        ids, tags, sizes, data = _unpack(pack, "<i8 <u2 <i8 u1")
+        ids, tags, sizes, data = _unpack(pack, "<i8 <i8 <i8 u1")
         edges = np.concatenate([[0], np.cumsum(sizes)])
         lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
         for i in range(len(ids)):
@@ -376,6 +381,19 @@ def _settle(packs: list[bytes], found: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
+def shared_slots(read: DataFrame) -> np.ndarray:
+    """For every slot, whether more than one row has one of its ids; only slots reach the driver, not ids."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(np.unique(_bucket(batch.column("id").to_numpy(), SLOTS)), pa.int32())})
+
+    again = read.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    out = np.zeros(SLOTS, bool)
+    out[again.mapInArrow(slots, "slot int").distinct().toArrow()["slot"].to_numpy()] = True
+    return out
+
+
 def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed: array of [begin, end) in bytes) of every row."""
     spark = docs.sparkSession
@@ -383,26 +401,33 @@ def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // range_bytes))
     read = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).bitwiseAND(0xFFFF).alias("tag"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
 
+    marks = spark.sparkContext.broadcast(np.packbits(shared_slots(read)).tobytes())
+
+    def marked() -> np.ndarray:
+        return np.unpackbits(np.frombuffer(marks.value, np.uint8)).astype(bool)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = marked()
         for batch in batches:
-            for chunk in _columns(batch):
+            for chunk in _columns(batch, shared):
                 found = list(sorted_runs(*chunk, parts))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in found], pa.int32()), "run": pa.array([r for _, r in found], pa.binary())})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         doc, tag, begin, end = repeats_of_range(list(group["run"]))
-        out = [(p, None, _pack([doc[i], tag[i].astype("<u2"), begin[i], end[i]])) for p, i in _by_bucket(doc, parts)]
+        out = [(p, None, _pack([doc[i], tag[i], begin[i], end[i]])) for p, i in _by_bucket(doc, parts)]
         return pd.DataFrame(out, columns=["part", "docs", "found"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = marked()
         for batch in batches:
-            for data, starts, ends, ids, tags in _columns(batch):
+            for data, starts, ends, ids, tags in _columns(batch, shared):
                 raw = np.frombuffer(data, np.uint8)
-                rows = [(p, _pack([ids[i], tags[i].astype("<u2"), (ends - starts)[i], np.concatenate([raw[starts[j] : ends[j]] for j in i])])) for p, i in _by_bucket(ids, parts)]
+                rows = [(p, _pack([ids[i], tags[i], (ends - starts)[i], np.concatenate([raw[starts[j] : ends[j]] for j in i])])) for p, i in _by_bucket(ids, parts)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in rows], pa.int32()), "docs": pa.array([r for _, r in rows], pa.binary()), "found": pa.nulls(len(rows), pa.binary())})
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:

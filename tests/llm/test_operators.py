@@ -273,6 +273,19 @@ def test_suffixes_ids(spark):
     assert got == [("1", 0), ("1", 0), ("1", 0), ("2", len(t)), ("None", len(t))]
 
 
+def test_suffixes_many_texts_of_an_id(spark):
+    rnd = random.Random(13)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(70))
+    own = lambda i: f"{i}-" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90))
+    texts = [own(i)[: 20 + i % 70] + (passage if i % 2 else "") + own(i)[:80] for i in range(4000)]
+    for shared in (None, 5):
+        rows = [(1, passage)] + [(shared, t) for t in texts]
+        found = suffixes.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = sorted(r.kept_sha256 for r in found.filter("n_bytes > 70").select("n_bytes", "kept_sha256").collect())
+        assert got == sorted(hashlib.sha256(t.replace(passage, "").encode()).hexdigest() for t in texts)
+        assert found.filter("n_removed not in (0, 70)").isEmpty()
+
+
 def test_loser_tree():
     rnd = random.Random(8)
     for _ in range(50):
