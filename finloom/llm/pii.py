@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least score of further kinds, code points of context (since the match before), outputs that a fold gathers at a time.
+#: Least score of further kinds, code points of context, outputs that a fold gathers at a time.
 THRESHOLD, CONTEXT_CHARS, FOLD = 0.6, 40, 256
 
 #: The base patterns, as contracted, with possessive quantifiers; card runs of 12 digits or more only.
@@ -33,7 +33,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Further kinds.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/-])"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/-])"
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,14 @@ def _spans(kind: Kind, order: int, text: str) -> str:
     rx = _sql(kind.pattern)
     pieces = f"zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), array('')), (g, h) -> named_struct('n', char_length(g), 'c', right(g, {CONTEXT_CHARS}), 'x', h))"
     none = "cast(array() as array<struct<s:int,c:string,x:string>>)"
-    step = f"named_struct('at', a.at + p.n + char_length(p.x), 'x', case when p.x = '' then {none} else array(named_struct('s', a.at + p.n, 'c', p.c, 'x', p.x)) end)"
+    # the state carries the last code points over matches, so that a match's context does not end at the one before
+    before = f"right(concat(a.at.c, p.c), {CONTEXT_CHARS})"
+    after = f"right(concat(c, right(p.x, {CONTEXT_CHARS})), {CONTEXT_CHARS})"
+    state = f"named_struct('n', a.at.n + p.n + char_length(p.x), 'c', {after})"
+    step = _let("c", before, f"named_struct('at', {state}, 'x', case when p.x = '' then {none} else array(named_struct('s', a.at.n + p.n, 'c', c, 'x', p.x)) end)")
     valid = kind.valid.replace("{x}", "m.x")
     score = f"least(1.0D, {kind.score}D + case when rlike(m.c, '{kind.context}') then 0.5D else 0.0D end)"
-    found = f"transform(filter({_fold(pieces, '0', none, step)}, m -> {valid}), m -> named_struct('start', m.s, 'ord', {order}, 'end', m.s + char_length(m.x), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {score}))"
+    found = f"transform(filter({_fold(pieces, "named_struct('n', 0, 'c', '')", none, step)}, m -> {valid}), m -> named_struct('start', m.s, 'ord', {order}, 'end', m.s + char_length(m.x), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {score}))"
     empty = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string,base:boolean,score:double>>)"
     return f"case when {kind.has.replace('{t}', text)} then {found} else {empty} end"
 

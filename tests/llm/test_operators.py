@@ -176,6 +176,19 @@ def test_pii_further_kinds(spark):
     assert masked == "x [EMAIL] y [IP]."
 
 
+def test_pii_context_over_matches(spark):
+    key = "65f8700754a1d8161928a1d0cca87ca77d009e4f"
+    texts = [
+        "SSN: 123-45-6789, 234-56-7890, 345-67-8901", "é" * 50 + " ssn 000-45-6789 234-56-7890", "ssn " + "." * 40 + "123-45-6789", f"github_personal_access_token = {key}",
+        f"{'x' * 60}_token: {key}", f"token={key}", f"api_key={key}&x=1", f"other={key} token",
+    ]
+    found = pii.find_pii(docs(spark, texts)).orderBy("doc_id").collect()
+    got = [[r.text[s["start"] : s["end"]] for s in r.pii if s["kind"] in ("ssn", "secret")] for r in found]
+    assert got == [["123-45-6789", "234-56-7890", "345-67-8901"], ["234-56-7890"], []] + [[key]] * 4 + [[]]
+    masked = pii.mask_pii(pii.find_pii(docs(spark, [texts[5], texts[0]]))).orderBy("doc_id").collect()
+    assert [r.text for r in masked] == ["token=[SECRET]", "SSN: [SSN], [SSN], [SSN]"]
+
+
 # --- 2
 
 def test_licenses(spark):
