@@ -4,7 +4,9 @@ The corpus is indexed shard by shard where it lies (a document-sharded index: no
 maps each word of the benchmark to its sorted postings, positions in the shard's word sequence; documents are kept
 apart by gaps. A test window is searched rarest word first: its postings, adjusted by the word's offset, are
 intersected with the lists of the next rarest words until none are left or all ten have agreed: an exact phrase match.
-Proximity matches need the four rarest words of a window within `slack` positions of their places.
+Proximity matches need four of a window's rarest words within `slack` positions of their places. Which words are the
+rarest is fixed by their counts in the whole benchmark (ties by offset), before any document is read, and `SPARE` more
+than four are looked at, so that as many replaced ones do no harm: what a document comes near to depends on no other.
 
 The benchmark is read in blocks of at most `BLOCK_WINDOWS` windows, so that what each task holds is bounded whatever
 the benchmark's size; each further block is one more pass. Whole texts are read.
@@ -17,7 +19,8 @@ and those named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +30,11 @@ from pyspark.sql import types as T
 
 from .common import LOWER, UPPER
 
-WINDOW, SLACK, RAREST = 10, 3, 4
+WINDOW, SLACK, RAREST, SPARE = 10, 3, 4, 2
 #: Windows of the benchmark that one pass holds, and words of a shard.
 BLOCK_WINDOWS, SHARD_WORDS = 200_000, 2_000_000
+#: Counters of the benchmark's words, by hash (a power of two).
+COUNTERS = 1 << 20
 #: UTF-8 bytes: A-Z to a-z; digits, letters and all bytes of wider characters stay, the rest is blank.
 _FOLD = bytes(c if chr(c) in "0123456789" + LOWER or c > 0x7F else ord(chr(c).lower()) if chr(c) in UPPER else 0x20 for c in range(256))
 
@@ -38,10 +43,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def _counter(word: bytes) -> int:
+    return zlib.crc32(word) % COUNTERS
+
+
+def word_counts(texts: Iterable[str | None]) -> np.ndarray:
+    """How often words stand in the texts, in counters of bounded number that words share by hash."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for text in texts:
+        np.add.at(counts, np.array([_counter(w) for w in words_of(text)], np.int64), 1)
+    return counts
+
+
 class Queries:
-    """The windows of a block of benchmark items: rows of word ids, grouped by length, and the items of each."""
+    """The windows of a block of benchmark items: rows of word ids, the items of each, and the offsets of its rarest
+    words by counts (of these items where none are given), rarest first."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, counts: np.ndarray | None = None):
+        counts = word_counts({text for _, text in items}) if counts is None else counts
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
@@ -50,15 +69,17 @@ class Queries:
                 owners.setdefault(tuple(ids[i : i + window]), set()).add("" if item is None else str(item))
         self.windows = list(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
+        often = [int(counts[_counter(w)]) for w in self.vocabulary]
+        self.keys = [sorted(range(len(w)), key=lambda o: often[w[o]])[: RAREST + SPARE] for w in self.windows]
 
     def parts(self) -> tuple:
         """Plain data for a broadcast."""
-        return self.vocabulary, self.windows, self.owners
+        return self.vocabulary, self.windows, self.owners, self.keys
 
     @classmethod
     def of(cls, parts: tuple) -> Queries:
         out = cls([])
-        out.vocabulary, out.windows, out.owners = parts
+        out.vocabulary, out.windows, out.owners, out.keys = parts
         return out
 
 
@@ -94,18 +115,25 @@ class Shard:
             found = _among(found + offset, self.postings(window[offset])) - offset
         return found
 
-    def near(self, window: tuple[int, ...], ranked: list[int], slack: int) -> np.ndarray:
-        """Starts near which the rarest words of the window stand within slack of their places."""
-        found = self.postings(window[ranked[0]]) - ranked[0]
-        for offset in ranked[1:RAREST]:
-            if not len(found):
-                break
-            there = self.postings(window[offset])
-            at = np.searchsorted(there, found + offset - slack)
-            ok = at < len(there)
-            ok[ok] = there[at[ok]] <= found[ok] + offset + slack
-            found = found[ok]
-        return found
+    def near(self, window: tuple[int, ...], keys: list[int], slack: int) -> np.ndarray:
+        """Starts near which RAREST of the words at the offsets keys stand within slack of their places, as seen from
+        the first of these words that is there."""
+        out = []
+        spare = len(keys) - RAREST
+        for skipped in range(spare + 1):
+            found = self.postings(window[keys[skipped]]) - keys[skipped]
+            missing = np.full(len(found), skipped)
+            for offset in keys[skipped + 1 :]:
+                if not len(found):
+                    break
+                there = self.postings(window[offset])
+                at = np.searchsorted(there, found + offset - slack)
+                ok = at < len(there)
+                ok[ok] = there[at[ok]] <= found[ok] + offset + slack
+                missing = missing + ~ok
+                found, missing = found[missing <= spare], missing[missing <= spare]
+            out.append(found)
+        return np.concatenate(out)
 
 
 def _among(wanted: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
@@ -125,7 +153,7 @@ def search(texts: list[str | None], queries: Queries, window: int = WINDOW, slac
     items: list[set[str]] = [set() for _ in texts]
     near: list[set[str]] = [set() for _ in texts]
     lengths = np.diff(shard.edges)
-    for terms, owners in zip(queries.windows, queries.owners):
+    for terms, owners, keys in zip(queries.windows, queries.owners, queries.keys):
         sizes = [lengths[t] for t in terms]
         ranked = sorted(range(len(terms)), key=sizes.__getitem__)
         if sizes[ranked[0]]:
@@ -135,9 +163,8 @@ def search(texts: list[str | None], queries: Queries, window: int = WINDOW, slac
                 np.add.at(cover, found + len(terms), -1)
                 for d in set(np.searchsorted(starts, found, "right").tolist()):
                     items[d - 1].update(owners)
-        ranked = [o for o in ranked if sizes[o]]
-        if len(ranked) >= min(RAREST, len(terms)) and len(terms) >= RAREST:
-            for d in set(np.searchsorted(starts, shard.near(terms, ranked, slack).clip(0), "right").tolist()):
+        if len(keys) >= RAREST and sum(sizes[o] > 0 for o in keys) >= RAREST:
+            for d in set(np.searchsorted(starts, shard.near(terms, keys, slack).clip(0), "right").tolist()):
                 near[d - 1].update(owners)
     hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(hit))
@@ -187,16 +214,17 @@ def _searcher(shared, window: int, slack: int):
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[Queries]:
     """The benchmark's windows in blocks of bounded size (one item's windows are never split)."""
+    counts = word_counts(row["text"] for row in benchmark.select("text").distinct().toLocalIterator())
     held: list[tuple[str, str | None]] = []
     n = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         size = max(len(words_of(row["text"])) - window + 1, 1)
         if held and n + size > limit:
-            yield Queries(held, window)
+            yield Queries(held, window, counts)
             held, n = [], 0
         held.append((row["item_id"], row["text"]))
         n += size
-    yield Queries(held, window)
+    yield Queries(held, window, counts)
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:

@@ -124,6 +124,23 @@ def test_proximity(spark):
     assert [list(r["near_items"]) for r in near] == [["q"], ["q"], []] and [len(r["items"]) for r in near] == [0, 1, 0]
 
 
+def test_proximity_does_not_depend_on_other_documents(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rnd = random.Random(14)
+    other = words(rnd, 40, 60)
+    bench = spark.createDataFrame([("q", item), ("r", other)], "item_id string, text string")
+    texts = [words(rnd, 30) + " " + item.replace(w, "other") + " " + words(rnd, 30) for w in item.split()] + [words(rnd, 60) for _ in range(5)]
+
+    def near(rows, parts, limit=decontam.BLOCK_WINDOWS):
+        found = decontam.find_overlap(docs(spark, rows).repartition(parts), bench, block_windows=limit).collect()
+        return [list(r["near_items"]) for r in sorted(found, key=lambda r: r.doc_id)][: len(texts)]
+
+    alone = [near([t], 1)[0] for t in texts[:2]]
+    together = near(texts, 1)
+    assert alone == together[:2] and all("q" in n for n in together[:10]) and not any("q" in n for n in together[10:])
+    assert together == near(texts + [item, other], 1) == near(texts + [item, other], 5) == near(texts + [item], 1, 5)
+
+
 # --- 3
 
 def test_mixing(spark):
