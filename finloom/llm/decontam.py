@@ -116,20 +116,21 @@ class Shard:
         return found
 
     def near(self, window: tuple[int, ...], keys: list[int], slack: int) -> np.ndarray:
-        """Starts near which RAREST of the words at the offsets keys stand within slack of their places, as seen from
-        the first of these words that is there."""
+        """Places of the first word that is there of those at the offsets keys, where RAREST of them stand within slack
+        of their places. The others lie in the same document, because the gap is wider than they can be apart; the
+        window's start need not, as a document may open in the middle of a window."""
         out = []
         spare = len(keys) - RAREST
         for skipped in range(spare + 1):
-            found = self.postings(window[keys[skipped]]) - keys[skipped]
+            found, anchor = self.postings(window[keys[skipped]]), keys[skipped]
             missing = np.full(len(found), skipped)
             for offset in keys[skipped + 1 :]:
                 if not len(found):
                     break
                 there = self.postings(window[offset])
-                at = np.searchsorted(there, found + offset - slack)
+                at = np.searchsorted(there, found - anchor + offset - slack)
                 ok = at < len(there)
-                ok[ok] = there[at[ok]] <= found[ok] + offset + slack
+                ok[ok] = there[at[ok]] <= found[ok] - anchor + offset + slack
                 missing = missing + ~ok
                 found, missing = found[missing <= spare], missing[missing <= spare]
             out.append(found)
@@ -164,7 +165,7 @@ def search(texts: list[str | None], queries: Queries, window: int = WINDOW, slac
                 for d in set(np.searchsorted(starts, found, "right").tolist()):
                     items[d - 1].update(owners)
         if len(keys) >= RAREST and sum(sizes[o] > 0 for o in keys) >= RAREST:
-            for d in set(np.searchsorted(starts, shard.near(terms, keys, slack).clip(0), "right").tolist()):
+            for d in set(np.searchsorted(starts, shard.near(terms, keys, slack), "right").tolist()):
                 near[d - 1].update(owners)
     hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(hit))

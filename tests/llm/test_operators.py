@@ -141,6 +141,15 @@ def test_proximity_does_not_depend_on_other_documents(spark):
     assert together == near(texts + [item, other], 1) == near(texts + [item, other], 5) == near(texts + [item], 1, 5)
 
 
+def test_proximity_at_the_head_of_a_document():
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    queries = decontam.Queries([("q", item)])
+    for cut in (1, 2):
+        head = " ".join(item.split()[cut:]) + " and more"
+        _, _, _, near = decontam.search(["clean words " * 9, head, "other clean words", head], queries)
+        assert near == [set(), {"q"}, set(), {"q"}]
+
+
 # --- 3
 
 def test_mixing(spark):
