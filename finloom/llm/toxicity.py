@@ -10,7 +10,7 @@ the bias by the label's share among all labels; n-gram counts, not texts, reach
 one number an n-gram; whole texts are scored, in pieces of bounded size.
 
 Defined results: null and empty texts have an empty bag and get the score of the bias alone; labels other than 0 and 1
-and null labels are not used; of several labels for an id the largest counts; without both classes among the labels
+and null labels are not used; of several labels for an id the largest counts, of several texts that of smallest digest; without both classes among the labels
 every score is the share of toxic labels (0 without labels); repeated rows get equal scores; extra columns pass through,
 those named like a result are replaced.
 """
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import digest
+
 #: Rows of the embedding table (a power of two), its width, and n-gram lengths.
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 8, (3, 4, 5, 6)
 #: Labelled texts with and without the label used in training, at most.
@@ -151,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     picked = [usable.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most) for v, most in ((0, max_other), (1, max_toxic))]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded: max_toxic + max_other ids
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", digest("text")).alias("text"))  # one text an id
     found = rows.select("id", "label", _bags("text").alias("bag")).select("id", "label", "bag.at", "bag.share").toArrow()
     found = found.sort_by([("id", "ascending"), ("at", "ascending")])
     bags = [(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(s.as_py(), "<f4")) for a, s in zip(found["at"], found["share"])]

@@ -150,6 +150,18 @@ def test_proximity_at_the_head_of_a_document():
         assert near == [set(), {"q"}, set(), {"q"}]
 
 
+def test_toxicity_trains_on_one_text_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, marks: seen.append((len(bags), marks.sum())) or toxicity.Model(toxicity.np.zeros(toxicity.BUCKETS), 0.0))
+    rows = [(i, f"text of {i}") for i in range(40)] + [(1, f"other text {i}") for i in range(300)] + [(1, None)]
+    labels = [(i, i % 2) for i in range(40)]
+    rows, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxicity.fit(rows, labels)
+    usable = labels.filter(~toxicity.held_out())
+    assert usable.filter("doc_id = 1").count() == 1
+    assert seen == [(usable.count(), usable.filter("toxic = 1").count())]
+
+
 # --- 3
 
 def test_mixing(spark):
