@@ -8,7 +8,8 @@ well, unless links hold half their text; if an article or main element encloses
 nothing beside it.
 
 What no article holds is cut before anything is measured: scripts, styles, forms, menus, footers, sidebars and the
-like by element, role, or by words of class and id (fixed lists below). A header within the article stays as far as
+like by element, role, or by words of class and id (fixed lists below). An element marked by words alone stays where it
+holds the page's only article or main elements or more than half of the page's text outside links. A header within the article stays as far as
 its headings go.
 
 Defined results: null and empty pages, and pages without text outside what is cut, give the empty string; broken and
@@ -71,31 +72,32 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: children are nodes and decoded strings in page order."""
 
-    __slots__ = ("tag", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("tag", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "marked")
 
-    def __init__(self, tag: str, parent=None, cut: bool = False):
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
+    def __init__(self, tag: str, parent=None, cut: bool = False, marked: bool = False):
+        self.tag, self.parent, self.cut, self.marked, self.children = tag, parent, cut, marked, []
 
 
 def _attributes(token: str, name: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[1 + len(name) : -1])}
 
 
-def _is_cut(tag: str, token: str) -> bool:
+def _is_cut(tag: str, token: str) -> tuple[bool, bool]:
+    """Whether the element is cut whatever it holds, and whether words of its class or id mark it."""
     if tag in CUT:
-        return True
+        return True, False
     if len(token) < len(tag) + 6 or tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
     given = _attributes(token, tag)
     if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES or "display:none" in given.get("style", "").replace(" ", ""):
-        return True
+        return True, False
     marked = False
     for name in (given.get("class", "") + " " + given.get("id", "")).split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if len(words) == 1 and words[0] in ARTICLE:
-            return False
+            return False, False
         marked |= bool(words) and words[0] not in STATES and (words[0] in MARKS or words[-1] in MARKS)
-    return marked
+    return False, marked
 
 
 def parse(page: str) -> Node:
@@ -147,7 +149,7 @@ def parse(page: str) -> Node:
             if tag == "br":
                 at.children.append(" ")
             continue
-        node = Node(tag, at, _is_cut(tag, token))
+        node = Node(tag, at, *_is_cut(tag, token))
         at.children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
@@ -158,6 +160,28 @@ def parse(page: str) -> Node:
     return root
 
 
+def _judge_marked(root: Node) -> None:
+    """Cut the marked elements, but for those that hold the page's only articles or most of its text outside links."""
+    order, todo, outside = [], [(root, False, False)], False
+    while todo:  # what is not cut: node, below a mark, in a link
+        node, below, link = todo.pop()
+        below, link = below or node.marked, link or node.tag == "a"
+        order.append((node, link))
+        outside |= node.tag in ("article", "main") and not below
+        todo.extend((c, below, link) for c in node.children if isinstance(c, Node) and not c.cut)
+    if not any(node.marked for node, _ in order):
+        return
+    held: dict[Node, tuple[int, bool]] = {}
+    for node, link in reversed(order):
+        own = 0 if link else sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        below = [held[c] for c in node.children if c in held]
+        held[node] = own + sum(n for n, _ in below), node.tag in ("article", "main") or any(a for _, a in below)
+    whole = held[root][0]
+    for node, _ in order:
+        chars, article = held[node]
+        node.cut = node.marked and not (article and not outside) and 2 * chars <= whole
+
+
 def _prune(root: Node) -> None:
     """Take out what is cut; a header outside the article goes, one inside keeps its headings."""
     todo = [(root, False)]
@@ -262,6 +286,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _judge_marked(root)
     _prune(root)
     order = measure(root)
     if not root.chars:

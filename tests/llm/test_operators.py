@@ -162,6 +162,17 @@ def test_toxicity_trains_on_one_text_an_id(spark, monkeypatch):
     assert seen == [(usable.count(), usable.filter("toxic = 1").count())]
 
 
+def test_html_marked_wrappers():
+    prose = "".join(f"<p>Sentence {i} of the article tells a long story, with commas, about a place.</p>" for i in range(8))
+    side = "<div class='sidebar'>Short notes beside it</div><div class='ad'>Buy this now</div>"
+    for name in ("content-with-sidebar", "layout-sidebar", "ad-free", "search-results"):
+        for inner in (f"<div>{prose}</div>", f"<article>{prose}</article>"):
+            got = htmltext.extract(f"<html><body><div class='{name}'>{inner}{side}</div></body></html>")
+            assert got.count("Sentence") == 8 and "Short notes" not in got and "Buy this" not in got
+    got = htmltext.extract(f"<html><body><article>{prose}</article><div class='comments'><article>{'<p>A comment.</p>' * 3}</article></div></body></html>")
+    assert got.count("Sentence") == 8 and "comment" not in got
+
+
 # --- 3
 
 def test_mixing(spark):
