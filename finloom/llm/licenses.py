@@ -43,7 +43,7 @@ WINDOW, STEP, BANDS, SHORT, CONTAINMENT = 16, 8, 8, 32, 0.8
 #: The template index may have so many keys at most.
 MAX_KEYS = 20_000
 
-_WORDS = "regexp_extract_all(lower({t}), '" + FOLDED_WORD.replace("\\", "\\\\") + "', 0)"
+_WORDS = "regexp_extract_all(lower({t}), '" + FOLDED_WORD.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}") + "', 0)"
 _SHINGLES = "case when size({w}) < 5 then cast(array() as array<bigint>) else transform(sequence(0, size({w}) - 5), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])) end"
 
 

@@ -92,17 +92,25 @@ _F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op9_decontamination"] = rf"""
 with d as (select row_number() over () rid, doc_id, regexp_extract_all({_LOW.format("text")}, '{_F}') w from documents),
-b as (select coalesce(cast(item_id as varchar), '') item, regexp_extract_all({_LOW.format("text")}, '{_F}') w from benchmark),
+bt as (select distinct coalesce(cast(item_id as varchar), '') item, text from benchmark where text is not null),
+b as (select item, regexp_extract_all({_LOW.format("text")}, '{_F}') w from bt),
 bw as (select distinct item, least(len(w), 10) k, list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') g
  from (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
 ks as (select distinct k from bw),
 dw as (select rid, k, i, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') g from (select rid, k, w, unnest(range(1, len(w) - k + 2)) i from d, ks where len(w) >= k)),
 hits as (select distinct rid, i, dw.k, item from dw join bw on dw.g = bw.g and dw.k = bw.k),
 cov as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + k)) p from (select distinct rid, i, k from hits)) group by rid),
-its as (select rid, count(*) n, string_agg(item, ',' order by item) s from (select distinct rid, item from hits) group by rid)
+its as (select rid, count(*) n, string_agg(item, ',' order by item) s from (select distinct rid, item from hits) group by rid),
+often as (select x, count(*) n from (select unnest(regexp_extract_all({_LOW.format("text")}, '{_F}')) x from (select distinct text from bt)) group by x),
+wo as (select g, o, x from (select g, unnest(string_split(g, ' ')) x, unnest(range(k)) o from (select distinct g, k from bw where k >= 4))),
+ky as (select g, o, x, row_number() over (partition by g order by n, o) r from wo join often using (x) qualify r <= 6),
+sp as (select rid, p, x from (select rid, unnest(w) x, unnest(range(len(w))) p from d) semi join ky using (x)),
+pl as (select rid, g, r, p, p - o spot from sp join ky using (x)),
+nr as (select distinct a.rid, a.g from pl a join pl c on a.rid = c.rid and a.g = c.g and c.spot between a.spot - 3 and a.spot + 3 where a.r <= 3 group by a.rid, a.g, a.r, a.p having count(distinct c.r) >= 4),
+ni as (select rid, count(distinct item) n from nr join bw using (g) group by rid)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(cov.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items,
- sha256(coalesce(its.s, '')) items_sha256, cov.n is not null contaminated
-from d left join cov using (rid) left join its using (rid)
+ sha256(coalesce(its.s, '')) items_sha256, cov.n is not null contaminated, cast(coalesce(ni.n, 0) as bigint) n_near_items
+from d left join cov using (rid) left join its using (rid) left join ni using (rid)
 """
 
 ORACLES["op10_line_dedup"] = rf"""

@@ -143,11 +143,29 @@ def test_proximity_does_not_depend_on_other_documents(spark):
 
 def test_proximity_at_the_head_of_a_document():
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    queries = decontam.Queries([("q", item)])
+    block = decontam.Block([("q", [decontam.signed(w.encode()) for w in item.split()], [1] * 10)])
     for cut in (1, 2):
         head = " ".join(item.split()[cut:]) + " and more"
-        _, _, _, near = decontam.search(["clean words " * 9, head, "other clean words", head], queries)
-        assert near == [set(), {"q"}, set(), {"q"}]
+        shard = decontam.Shard.of_texts(["clean words " * 9, head, "other clean words", head], None, decontam.WINDOW + decontam.SLACK)
+        assert [(d, near) for d, _, _, near in decontam.search(shard, block)] == [(1, ["q"]), (3, ["q"])]
+
+
+def test_stored_shards():
+    rnd = random.Random(15)
+    texts = [words(rnd, n, 50) for n in (0, 1, 40, 300)] + [None]
+    shard = decontam.Shard.of_texts(texts, None, 13)
+    again = decontam.Shard.unpacked(shard.packed(), 13)
+    for name in ("terms", "lengths", "places", "counts", "starts"):
+        assert (getattr(shard, name) == getattr(again, name)).all()
+    for term, a, n in zip(shard.terms.tolist(), shard.begin.tolist(), shard.lengths.tolist()):
+        want = [shard.starts[d] + i for d, t in enumerate(texts) for i, w in enumerate(decontam.words_of(t)) if decontam.signed(w) == term]
+        assert shard.places[a : a + n].tolist() == want
+
+
+def test_terms_are_the_built_in_hash(spark):
+    names = ["a", "abcdefgh" * 5, "é", "x1"]
+    got = spark.createDataFrame([(w,) for w in names], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    assert all(r.h == decontam.signed(r.w.encode()) for r in got)
 
 
 def test_toxicity_trains_on_one_text_an_id(spark, monkeypatch):

@@ -51,4 +51,5 @@ def test_query(spark, rows, name):
             con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
         rel = con.sql(registry.ORACLES[name])
         names = rel.columns
+        assert sorted(names) == sorted(df.columns)
         assert sorted(repr(tuple(r[c] for c in names)) for r in got) == sorted(map(repr, rel.fetchall()))
