@@ -3,18 +3,22 @@
 Every node of the page's tree has a density: characters per tag, where characters and tags of links are taken off by
 the logarithm of composite text density, so that link lists are thin and prose is dense. A node's density sum adds up
 its children's densities. The node of largest density sum is the core; the smallest density on the path from the body
-to it is the page's threshold. Subtrees beside the core whose density reaches the threshold belong to the article as
-well, unless links hold half their text; if an article or main element encloses the core, all of it is the article and
-nothing beside it.
+to it is the page's threshold. An article or main element is one more candidate: the outermost one on that path, or one
+within the core that holds more than half of the core's text outside links, is the text's box. Without a box, subtrees
+beside the path belong to the text if their density reaches the threshold, links hold less than half of them, and they
+are no header; children of the core that are mostly links go.
 
-What no article holds is cut before anything is measured: scripts, styles, forms, menus, footers, sidebars and the
-like by element, role, or by words of class and id (fixed lists below). An element marked by words alone stays where it
-holds the page's only article or main elements or more than half of the page's text outside links. A header within the article stays as far as
-its headings go.
+Words of class and id (fixed list below) weigh in the density of what they mark, and of all within it: a name made of
+such words alone (with words for parts of a layout) by a tenth, one that begins or ends with such a word by half,
+outside articles only. An element marked by its whole name goes unless its weighted density sum puts it on the
+path; within the text, elements whose names merely hold such a word stay. Scripts, styles, forms, menus,
+footers, asides and what is hidden go by element, role or state. The header of the text loses its lists of links.
 
 Defined results: null and empty pages, and pages without text outside what is cut, give the empty string; broken and
-unclosed markup is read as browsers do as far as blocks go; pages are read one by one, so repeated rows do no harm; an
-empty table gives an empty table; further columns pass through, those named like a result are replaced.
+unclosed markup is read as browsers do as far as blocks go, and in linear time: a tag that never ends is text, from the
+first tag whose quotes never close on quotes have no meaning, and elements deeper than `DEPTH` are laid side by side;
+very long pages are read whole; pages are read one by one, so repeated rows do no harm; an empty table gives an empty
+table; further columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -53,17 +57,25 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
-#: Words (split at what is no letter, and at capitals) that open or end a class or id of what is no article.
+#: Words (split at what is no letter, and at capitals) of classes and ids of what is no article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer masthead comment comments disqus respond cookie cookies consent gdpr notice newsletter subscribe subscription signup login "
     "popup modal overlay share sharing social related recommended widget pagination pager toolbar skip copyright alert search".split()
 )
+#: Words for parts of a layout, which say nothing by themselves.
+PARTS = frozenset(
+    "container wrapper wrap box block section list item items area slot unit bar links link button buttons icons panel inner outer group row column "
+    "holder left right top bottom title heading body text thread count meta posts stories".split()
+)
 #: Classes and ids of the article itself, which outweigh the marks above, and words before the state of an element.
 ARTICLE, STATES = frozenset("article post entry story main content".split()), frozenset("has with no not without is".split())
+#: Weights of what is marked by whole names, by part of a name, and elements that browsers nest at most.
+WHOLE, PARTLY, DEPTH = 0.1, 0.5, 512
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>|/?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG = re.compile(r"</?[a-zA-Z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_BARE_TAG = re.compile(r"</?[a-zA-Z][^>]*+>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -72,140 +84,172 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: children are nodes and decoded strings in page order."""
 
-    __slots__ = ("tag", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "marked")
+    __slots__ = ("tag", "children", "cut", "chars", "tags", "link_chars", "link_tags", "density", "weight", "total", "parent", "mark", "depth")
 
-    def __init__(self, tag: str, parent=None, cut: bool = False, marked: bool = False):
-        self.tag, self.parent, self.cut, self.marked, self.children = tag, parent, cut, marked, []
+    def __init__(self, tag: str, parent=None, cut: bool = False, mark: float = 1.0):
+        self.tag, self.parent, self.cut, self.mark, self.children = tag, parent, cut, mark, []
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def _attributes(token: str, name: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[1 + len(name) : -1])}
 
 
-def _is_cut(tag: str, token: str) -> tuple[bool, bool]:
-    """Whether the element is cut whatever it holds, and whether words of its class or id mark it."""
+def _judge(tag: str, token: str) -> tuple[bool, float]:
+    """Whether the element goes whatever it holds, and the weight that its class and id give it."""
     if tag in CUT:
-        return True, False
-    if len(token) < len(tag) + 6 or tag in ("body", "html", "article", "main"):
-        return False, False
+        return True, 1.0
+    if len(token) < len(tag) + 6 or tag in ("body", "html"):
+        return False, 1.0
     given = _attributes(token, tag)
     if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES or "display:none" in given.get("style", "").replace(" ", ""):
-        return True, False
-    marked = False
+        return tag not in ("article", "main"), 1.0
+    mark = 1.0
     for name in (given.get("class", "") + " " + given.get("id", "")).split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if len(words) == 1 and words[0] in ARTICLE:
-            return False, False
-        marked |= bool(words) and words[0] not in STATES and (words[0] in MARKS or words[-1] in MARKS)
-    return False, marked
+            return False, 1.0
+        if words and words[0] not in STATES and not MARKS.isdisjoint(words):
+            if all(w in MARKS or w in PARTS for w in words):
+                mark = WHOLE
+            elif words[0] in MARKS or words[-1] in MARKS:
+                mark = min(mark, PARTLY)
+    return False, mark
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of tags, comments and declarations, in time linear in the page. The caller may send on from where."""
+    pos, last, quotes = 0, page.rfind(">"), True
+    while True:
+        pos = page.find("<", pos)
+        if pos < 0 or pos > last and not page.startswith("<!--", pos):
+            return
+        end = pos + 1
+        if page.startswith("<!--", pos):
+            close = page.find("-->", pos + 2)
+            end = close + 3 if close >= 0 else len(page)
+        elif page[pos + 1 : pos + 2] in ("!", "?"):
+            end = page.find(">", pos) + 1
+        else:
+            found = _TAG.match(page, pos) if quotes else _BARE_TAG.match(page, pos)
+            if found is None and quotes and _BARE_TAG.match(page, pos):
+                quotes = False
+                found = _BARE_TAG.match(page, pos)
+            if found is None:  # no tag: text
+                pos += 1
+                continue
+            end = found.end()
+        onward = yield pos, end
+        pos = onward or end
+
+
+class _Builder:
+    """The tree as it grows; counts of open elements spare walks up the tree, so that every tag costs little."""
+
+    def __init__(self):
+        self.root = self.at = Node("#root")
+        self.open: dict[str, int] = {}
+        self.scopes: list[tuple[Node, dict[str, int]]] = [(self.root, {})]  # open blocks with their open inline elements
+
+    def climb(self, to: Node) -> None:
+        """Close what is open below to."""
+        while self.at is not to:
+            tag = self.at.tag
+            self.open[tag] -= 1
+            if tag in BLOCK:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][1][tag] -= 1
+            self.at = self.at.parent
+
+    def add(self, child: Node | str) -> None:
+        self.at.children.append(child)
+
+    def enter(self, node: Node) -> None:
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        if node.tag in BLOCK:
+            self.scopes.append((node, {}))
+        else:
+            inline = self.scopes[-1][1]
+            inline[node.tag] = inline.get(node.tag, 0) + 1
+        self.at = node
+
+    def close(self, tag: str) -> None:
+        """An end tag: inline elements end within their block, others wherever they are open."""
+        if (self.open if tag in BLOCK else self.scopes[-1][1]).get(tag):
+            up = self.at
+            while up.tag != tag:
+                up = up.parent
+            self.climb(up.parent)
+        elif tag == "p":
+            self.add(Node("p", self.at))
+        elif tag == "br":
+            self.add(" ")
+
+    def make_room(self, tag: str) -> None:
+        """End what an opening tag ends."""
+        if tag in CLOSES:
+            ends, bounds = CLOSES[tag]
+            left, up, target = sum(self.open.get(t, 0) for t in ends), self.at, None
+            while left and up is not self.root and up.tag not in bounds:
+                if up.tag in ends:
+                    target, left = up, left - 1
+                up = up.parent
+            if target is not None:
+                self.climb(target.parent)
+        elif tag in BLOCK:  # a block ends an open paragraph
+            block = self.scopes[-1][0]
+            if block.tag == "p":
+                self.climb(block.parent)
+            if tag in HEADING and self.at.tag in HEADING:
+                self.climb(self.at.parent)
 
 
 def parse(page: str) -> Node:
     """The page's tree below a root; unclosed elements end with what encloses them."""
-    root = at = Node("#root")
-    pos, n = 0, len(page)
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            rest = page[pos:]
-            at.children.append(html.unescape(rest))
+    tree = _Builder()
+    pos, tokens, onward = 0, _tokens(page), None
+    while True:
+        try:
+            begin, end = tokens.send(onward)
+        except StopIteration:
             break
-        if m.start() > pos:
-            at.children.append(html.unescape(page[pos : m.start()]))
-        token, pos = m.group(), m.end()
+        onward = None
+        if begin > pos:
+            tree.add(html.unescape(page[pos:begin]))
+        token, pos = page[begin:end], end
         name = _NAME.match(token)
         if name is None:
             continue  # comments and declarations
         tag = name[1].lower()
         if token[1] == "/":
-            up = at
-            while up is not root and up.tag != tag and not (up.tag in BLOCK and tag not in BLOCK):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                at = up.parent
-            elif tag == "p":
-                at.children.append(Node("p", at))
-            elif tag == "br":
-                at.children.append(" ")
+            tree.close(tag)
             continue
-        if tag in BLOCK and tag not in CLOSES:  # a block ends an open paragraph
-            up = at
-            while up is not root and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-            if tag in HEADING and at.tag in HEADING:
-                at = at.parent
-        if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            up, target = at, None
-            while up is not root and up.tag not in bounds:
-                if up.tag in ends:
-                    target = up
-                up = up.parent
-            if target is not None:
-                at = target.parent
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                at.children.append(" ")
+        tree.make_room(tag)
+        if tag == "br":
+            tree.add(" ")
+        if tag in ("br", "wbr"):
             continue
-        node = Node(tag, at, *_is_cut(tag, token))
-        at.children.append(node)
+        node = Node(tag, tree.at, *_judge(tag, token))
+        tree.add(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            node.children.append(page[pos : close.start() if close else n])
-            pos = close.end() if close else n
-        elif tag not in VOID and not token.endswith("/>"):
-            at = node
-    return root
-
-
-def _judge_marked(root: Node) -> None:
-    """Cut the marked elements, but for those that hold the page's only articles or most of its text outside links."""
-    order, todo, outside = [], [(root, False, False)], False
-    while todo:  # what is not cut: node, below a mark, in a link
-        node, below, link = todo.pop()
-        below, link = below or node.marked, link or node.tag == "a"
-        order.append((node, link))
-        outside |= node.tag in ("article", "main") and not below
-        todo.extend((c, below, link) for c in node.children if isinstance(c, Node) and not c.cut)
-    if not any(node.marked for node, _ in order):
-        return
-    held: dict[Node, tuple[int, bool]] = {}
-    for node, link in reversed(order):
-        own = 0 if link else sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
-        below = [held[c] for c in node.children if c in held]
-        held[node] = own + sum(n for n, _ in below), node.tag in ("article", "main") or any(a for _, a in below)
-    whole = held[root][0]
-    for node, _ in order:
-        chars, article = held[node]
-        node.cut = node.marked and not (article and not outside) and 2 * chars <= whole
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, pos)
+            node.children.append(page[pos : close.start() if close else len(page)])
+            pos = onward = close.end() if close else len(page)
+        elif tag not in VOID and not token.endswith("/>") and node.depth < DEPTH:
+            tree.enter(node)
+    if pos < len(page):
+        tree.add(html.unescape(page[pos:]))
+    return tree.root
 
 
 def _prune(root: Node) -> None:
-    """Take out what is cut; a header outside the article goes, one inside keeps its headings."""
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        kept = []
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.cut or (c.tag == "header" and not inside):
-                    continue
-                if c.tag == "header":
-                    c.children = [x for x in _all(c) if isinstance(x, Node) and x.tag in HEADING]
-                todo.append((c, inside or c.tag in ("article", "main")))
-            kept.append(c)
-        node.children = kept
-
-
-def _all(node: Node) -> Iterator:
-    todo = list(reversed(node.children))
+    """Take out what goes whatever it holds."""
+    todo = [root]
     while todo:
-        c = todo.pop()
-        yield c
-        if isinstance(c, Node):
-            todo.extend(reversed(c.children))
+        node = todo.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not c.cut]
+        todo.extend(c for c in node.children if isinstance(c, Node))
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -219,7 +263,7 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Set chars, tags, link_chars, link_tags, density and total (the density sum) of all nodes; parents first."""
+    """Set chars, tags, link_chars, link_tags, density, weight and total (the density sum) of all nodes; parents first."""
     order = _nodes(root)
     for node in reversed(order):
         node.chars = sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
@@ -231,10 +275,15 @@ def measure(root: Node) -> list[Node]:
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
     linked, chars = root.link_chars, max(root.chars, 1)
+    inside = set()  # articles and all within them
     for node in order:
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, linked, chars)
+        if node.tag in ("article", "main") or node.parent in inside:
+            inside.add(node)
+        own = WHOLE if node.tag == "header" and node not in inside else node.mark if node.mark != PARTLY or node not in inside else 1.0
+        node.weight = own * (node.parent.weight if node.parent else 1.0)
     for node in order:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+        node.total = sum(c.density * c.weight for c in node.children if isinstance(c, Node))
     return order
 
 
@@ -272,7 +321,7 @@ def _text(nodes: list) -> str:
             run.append(node)
         elif done:
             flush()
-        else:
+        elif not node.cut:
             if node.tag in BLOCK:
                 flush()
                 todo.append((node, True))
@@ -281,12 +330,50 @@ def _text(nodes: list) -> str:
     return "\n".join(blocks)
 
 
+def _plain(node: Node) -> int:
+    """Characters outside links."""
+    return node.chars - node.link_chars
+
+
+def _box(core: Node, path: list[Node]) -> Node | None:
+    """The article or main element that the core lies in, or that holds most of the core's text outside links."""
+    for tag in ("article", "main"):
+        for node in reversed(path):
+            if node.tag == tag and node.mark == 1.0:
+                return node
+    todo, found = [core], []
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if isinstance(c, Node):
+                (found if c.tag in ("article", "main") and c.weight == core.weight else todo).append(c)
+    best = max(found, key=_plain, default=None)
+    return best if best is not None and 2 * _plain(best) > _plain(core) else None
+
+
+def _mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars >= node.chars > 0
+
+
+def _thin_out(top: Node, on_path: set[Node]) -> None:
+    """Cut what is marked by its whole name beside the path (its weighted density sum would have made it the core), and
+    the lists of links of a header."""
+    todo = [(top, False)]
+    while todo:
+        node, header = todo.pop()
+        for c in node.children:
+            if isinstance(c, Node):
+                if c not in on_path and (c.mark == WHOLE or (header and c.tag in BLOCK and c.link_tags > 1 and _mostly_links(c))):
+                    c.cut = True
+                else:
+                    todo.append((c, header or c.tag == "header"))
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
     root = parse(page)
-    _judge_marked(root)
     _prune(root)
     order = measure(root)
     if not root.chars:
@@ -295,15 +382,20 @@ def extract(page: str | None) -> str:
     if not core.total:  # no element holds text
         return _text([root])
     path = _path(core)
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return _text([node])
     body = next((n for n in order if n.tag == "body"), root)
     upto = path.index(body) + 1 if body in path else len(path)
     threshold = min(n.density for n in path[:upto])
     on_path = set(path)
-    if core is root or core is body:
-        return _text([core])
+    box = _box(core, path)
+    if box is not None:
+        _thin_out(box, on_path)
+        return _text([box])
+    _thin_out(core, on_path)
+    for c in core.children:
+        if isinstance(c, Node) and c.tag in BLOCK and _mostly_links(c) and (c.tag != "p" or c.link_tags > 1):
+            c.cut = True
+        elif isinstance(c, Node) and c.tag == "header" and core is body:
+            c.cut = True
     chosen: list = []
     todo: list = [path[-1]]
     while todo:  # in page order
@@ -312,7 +404,8 @@ def extract(page: str | None) -> str:
             chosen.append(c)
         elif c in on_path:
             todo.extend(reversed(c.children))
-        elif c.tag in HEADING or (c.density >= threshold and 2 * c.link_chars < c.chars):
+        elif c.tag in HEADING or (c.tag != "header" and c.density * c.mark >= threshold and not _mostly_links(c)):
+            _thin_out(c, on_path)
             chosen.append(c)
     return _text(chosen)
 

@@ -322,10 +322,71 @@ def test_html(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
-def test_html_density():
-    prose = "This is a sentence of running text that says something in plain words. " * 4
-    page = "<body><div class=x1><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div class=x2>" + f"<p>{prose}</p>" * 4 + "</div><div class=x3><a href=9>next page of the site</a></div></body>"
-    assert htmltext.extract(page) == "\n".join([prose.strip()] * 4)
+def test_html_density(monkeypatch):
+    """Pages that only density can tell apart: no article, no marks. Without the measure they fail."""
+    prose = SENTENCE * 4
+    menu = "<div class=x1><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div>"
+    page = f"<body>{menu}<div class=x2>" + f"<p>{prose}</p>" * 4 + "</div><div class=x3><a href=9>next page of the site</a></div></body>"
+    want = "\n".join([prose.strip()] * 4)
+    assert htmltext.extract(page) == want
+    beside = f"<body>{menu}" + f"<p>{prose}</p>" * 4 + "</body>"  # the body itself is the core
+    assert htmltext.extract(beside) == want
+    teaser = f"<body><article><p><a href=1>Another story</a></p></article><div><div><p>{prose}</p><p>{prose}</p><p>{prose}</p><p>{prose}</p></div></div></body>"
+    assert htmltext.extract(teaser) == want
+    table = "<div>" + "".join(f"<div>w{i}</div>" for i in range(12)) + "</div>"  # many tags, little text, no link
+    thin = f"<body>{table}<div>" + f"<p>{prose}</p>" * 4 + "</div></body>"
+    assert htmltext.extract(thin) == want
+    monkeypatch.setattr(htmltext, "density", lambda *_: 1.0)
+    assert htmltext.extract(thin) != want
+
+
+def test_html_article_keeps_its_parts():
+    inner = '<h1>Title</h1><p>Lead paragraph.</p></header><p>Body of it.</p><table class="related-party"><tr><td>cell</td></tr></table><p class="notice-period">30 days</p><div id="search-methods">We searched.</div>'
+    menu = "<ul><li><a href=1>a</a><li><a href=2>b</a></ul>"
+    got = htmltext.extract(f'<body><header>Site</header><article><header>{menu}{inner}<div class="ad">Buy this</div><div class="comment-list"><p>{SENTENCE * 9}</p></div></article></body>')
+    assert got.split("\n") == ["Title", "Lead paragraph.", "Body of it.", "cell", "30 days", "We searched."]
+
+
+def test_html_generated_pages():
+    """Against the blocks that a generator of pages knows to be the text."""
+    rnd = random.Random(21)
+    sentence = lambda n: " ".join(words(rnd, 8, 900).capitalize() + "." for _ in range(n))
+    for turn in range(120):
+        blocks, body = [], []
+        for _ in range(rnd.randrange(3, 9)):
+            kind = rnd.randrange(4)
+            t = sentence(rnd.randrange(2, 6))
+            if kind == 0:
+                a, b, c = t.split(" ", 2)
+                blocks.append(t)
+                body.append(f"<p>{a} <a href='/x'>{b}</a>  {c}")
+            elif kind == 1:
+                parts = [sentence(2) for _ in range(3)]
+                blocks += parts
+                body.append("<ul>" + "".join(f"<li>{x}" for x in parts) + "</ul>")
+            elif kind == 2:
+                blocks.append(t + " & more")
+                body.append(f"<blockquote>{t} &amp;\n\tmore</blockquote>")
+            else:
+                blocks.append(t)
+                body.append(f"<p>{t}</p>")
+        title = sentence(1)
+        around = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div id=content-with-sidebar><div>{}</div></div>", "<section class=post>{}</section>"])
+        links = "".join(f"<a href=/{i}>{words(rnd, 1)}</a> " for i in range(rnd.randrange(4, 9)))
+        before = rnd.choice(["", f"<nav>{links}</nav>", f"<div>{links}</div>", f"<ul><li>{links}</ul>", "<header>Site <b>name</b></header>"])
+        after = rnd.choice(["", "<footer>&copy; me</footer>", f"<aside><p>{sentence(1)}</p></aside>", f"<div class=sidebar>{links}</div>", f"<div class=comments><p>{sentence(2)}</p></div>", "<form><p>Subscribe now</p></form>"])
+        page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{before}{around.format(f'<h1>{title}</h1>' + ''.join(body))}<script>var a='<p>';</script>{after}</body></html>"
+        assert htmltext.extract(page).split("\n") == [title, *blocks], (turn, page)
+
+
+def test_html_broken_markup_is_linear():
+    import time
+
+    for bad in ("<a" * 200_000, "if a<b then " * 40_000, '<a ">" ' * 40_000, "<ul>" + "<span>" * 5000 + "<li>x" * 20_000, "<b><div>" + "<i>" * 5000 + "</b>" * 40_000, "<!--" * 100_000, "<a '" * 50_000 + '">' * 3):
+        began = time.process_time()
+        htmltext.extract(bad)
+        assert time.process_time() - began < 3
+    assert htmltext.extract("if a<b then") == "if a<b then" and htmltext.extract("<p>one<p>two <b unclosed") == "one\ntwo <b unclosed"
 
 
 # --- 5
