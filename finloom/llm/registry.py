@@ -20,7 +20,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), columns=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _listed(spans) -> F.Column:
@@ -88,6 +88,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or caps or word_chars < 2 * n_words or word_chars > 20 * n_words) kept from f
 """
 
+#: Targets: sources by size over weight; the longest prefix of them that a share would lift above three times is full.
+ORACLES["op3_mixing"] = rf"""
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '{_W}')), 0) as bigint) size,
+ cast('0x' || substr(md5(coalesce(cast(doc_id as varchar) || '|', '') || coalesce(text || '|', '')), 1, 15) as bigint) h from documents),
+s as (select source, sum(size)::bigint n from d group by source),
+o as (select source, n, [5, 2, 1][1 + cast((row_number() over (order by source nulls last) - 1) % 3 as integer)] w from s),
+f as (select *, row_number() over r k, sum(3 * n) over r - 3 * n full_before, sum(w) over r - w w_before, sum(n) over () total, sum(w) over () w_all from o window r as (order by n::double / w, w, source nulls last)),
+g as (select *, (total - full_before)::double / (w_all - w_before) * w > 3 * n above from f),
+c as (select coalesce(max(k) filter (above), 0) m from g),
+t as (select source, n, case when k <= m then 3.0::double * n else (total - (select coalesce(sum(3 * n), 0) from g where k <= m))::double / (w_all - (select coalesce(sum(w), 0) from g where k <= m)) * w end target from g, c),
+e as (select source, n, target, case when n > 0 then least(3, cast(floor(target / n) as bigint)) else 0 end whole from t),
+b as (select source, h, sum(size)::bigint z from d group by source, h),
+u as (select source, h, z, sum(z) over (partition by source order by h) up from b),
+x as (select u.source, h, z, up, target - whole * n want from u join e on u.source is not distinct from e.source where whole < 3 and n > 0 and target - whole * n > 0),
+q as (select source, min((h, up, z, want)) filter (up >= want) p, max(h) + 1 past from x group by source),
+cut as (select source, case when p is null then past else p[1] + case when p[2] - p[4] <= p[4] - (p[2] - p[3]) then 1 else 0 end end cut from q)
+select doc_id, size, cast(e.n as bigint) source_size, target, cast(size * (whole + case when h < coalesce(cut, 0) then 1 else 0 end) as bigint) taken
+from d join e on d.source is not distinct from e.source left join cut on d.source is not distinct from cut.source
+"""
+
 _F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op9_decontamination"] = rf"""
