@@ -1,15 +1,16 @@
 """Line dedup (native: DataFrame and SQL functions only).
 
 A line's key is the line without blanks at both ends, A-Z lower-cased; keys shorter than `min_chars` code points stay.
-Line hashes are range-partitioned together with a slice number of their document, so that a line which a third of all
-documents hold spreads over `slices` ranges. Within a range rows are sorted by hash, document and position and one pass
-streams the first document of each hash; only these first rows (at most one document a slice) meet once more to find
-the first of all slices. What comes back to the documents is no text but a bitmap of the lines to drop: 64 lines to a
-word, words without a dropped line left out.
+Every line hash is salted with a slice number of its document, and the salted hashes are range-partitioned, in ranges of
+equal width as hashes are even: so no sample of the lines is read to find bounds, and a line that a third of all
+documents hold spreads over as many ranges as there are slices, whose number grows with that of the partitions. Within
+a range rows are sorted by hash, document and position and one pass streams the first document of each hash; only these
+first rows (at most one document a slice) meet once more to find the first of all slices. What comes back to the
+documents is no text but a bitmap of the lines to drop: 64 lines to a word, words without a dropped line left out.
 
 Defined results: a null or empty text is one empty line, which stays; lines of equal key in one document all stay if it
 is the smallest holding them; rows that share a doc_id are one document; a null doc_id comes after all others, as one
-document; an empty table gives an empty table; further columns pass through, those named like a result are replaced.
+document; very long texts are read whole, their lines one by one; an empty table gives an empty table; further columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ def line_rows(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -
     return key.select("__l_doc", "__l_dig", "__l_pos", F.xxhash64("key").alias("__l_h"), F.xxhash64(F.lit(1), F.col("key")).alias("__l_g"))
 
 
-def dropped_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, slices: int = SLICES) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, slices: int | None = None) -> DataFrame:
     """(__l_doc, __l_dig, __l_pos) of every line whose key a smaller document holds."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = line_rows(docs, text, min_chars).withColumn("__l_slice", F.pmod(F.xxhash64("__l_doc"), F.lit(slices)))
-    ranged = rows.repartitionByRange(n, "__l_h", "__l_g", "__l_slice")
-    stream = W.partitionBy("__l_h", "__l_g", "__l_slice").orderBy("__l_doc", "__l_dig", "__l_pos")
+    rows = line_rows(docs, text, min_chars).withColumn("__l_slice", F.pmod(F.xxhash64("__l_doc"), F.lit(slices or max(SLICES, n))))
+    # the upper 32 bits of the salted hash, in n ranges of equal width
+    salted = F.shiftrightunsigned(F.xxhash64("__l_h", "__l_slice"), 32)
+    ranged = rows.withColumn("__l_range", F.shiftright(salted * n, 32).cast("int")).repartitionById(n, F.col("__l_range"))
+    stream = W.partitionBy("__l_range", "__l_h", "__l_g", "__l_slice").orderBy("__l_doc", "__l_dig", "__l_pos")
     ranged = ranged.withColumn("__l_first", F.first("__l_doc").over(stream.rowsBetween(W.unboundedPreceding, 0)))
     later = ranged.filter("__l_doc <> __l_first")
     firsts = ranged.filter("__l_doc = __l_first")
@@ -56,7 +59,7 @@ def drop_bitmaps(dropped: DataFrame) -> DataFrame:
     return words.groupBy("__l_doc", "__l_dig").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("__l_bits"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, slices: int = SLICES) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, slices: int | None = None) -> DataFrame:
     """docs with n_lines (before), n_dropped, __drops' effect in kept_text, and line_bitmap (word, bits) of the lines dropped."""
     results = {"n_lines", "n_dropped", "kept_text", "line_bitmap"}
     bitmaps = drop_bitmaps(dropped_lines(docs, text, min_chars, slices))
