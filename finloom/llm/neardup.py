@@ -34,6 +34,8 @@ from .common import materialise
 
 #: Words of a shingle, similarity, and bands x rows: a pair at 0.8 shares no band with a probability of 1e-6.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 36, 5
+#: Rows of a key from which it is hot, and hot keys at most.
+HUB, HUBS = 256, 100_000
 #: Bytes of text that are sketched at once; pairs of a bucket that are listed, and texts on a side of a tile beyond.
 CHUNK_BYTES, FEW, TILE = 1_000_000, 16, 256
 _LAST = 2**63 - 1
@@ -238,19 +240,39 @@ def _id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
+def _hot(df: DataFrame, key: str) -> DataFrame:
+    """(hot): the keys of very many rows of a written table. There are at most HUBS of them, as each has a share of
+    1 / HUBS of the rows at least, so they may be broadcast at any size."""
+    least = max(HUB, df.count() // HUBS)
+    return materialise(df.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("hot"), "hot")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one, a row a key: rows of hot keys go to as many tasks as there are partitions, by hash of a
+    column, and the other side's rows of these keys are copied to all of them."""
+    n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.broadcast(hot.withColumnRenamed("hot", key).withColumn("__hot", F.lit(True)))
+    left = many.join(is_hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(n))).otherwise(0).cast("int")).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(is_hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (a, b): the smallest node that it is connected with.
 
     Each round takes the smallest label around and then that label's own label; labels are written to shared storage
-    after each round.
+    after each round. Nodes with very many links, and labels of very many nodes, are spread over all tasks.
     """
     edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    hubs = _hot(edges, "b")
     labels = materialise(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
-        around = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        around = spread_join(edges, labels.withColumnRenamed("node", "b"), "b", hubs, "a").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around, labels["node"] == around["a"]).select("node", F.least("label", "near").alias("step"), F.col("label").alias("old"))
         onward = labels.select(F.col("node").alias("step"), F.col("label").alias("jump"))
-        fresh = materialise(nearer.join(onward, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("label"), "old"), "labels")
+        further = spread_join(nearer, onward, "step", hubs, "node", "left")  # whatever many nodes are labelled by has many links
+        fresh = materialise(further.select("node", F.least("step", F.coalesce("jump", "step")).alias("label"), "old"), "labels")
         if fresh.filter("label <> old").isEmpty():
             return fresh.select("node", "label")
         labels = fresh.select("node", "label")
@@ -259,7 +281,7 @@ def components(links: DataFrame) -> DataFrame:
 def _relabel(of: DataFrame, merged: DataFrame) -> DataFrame:
     """Labels (node, label) after their labels were merged further."""
     more = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    old = of.join(more, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    old = spread_join(of, more, "label", _hot(of, "label"), "node", "left").select("node", F.coalesce("to", "label").alias("label"))
     new = merged.join(of.select("node"), "node", "left_anti").select("node", "label")
     return materialise(old.unionByName(new), "labels")
 
@@ -279,7 +301,8 @@ def node_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return materialise(pairs.join(left, "a").join(right, "b").filter(_similar("ta", "tb")).select("a", "b"), "links")
+        both = spread_join(pairs, left, "a", _hot(pairs, "a"), "b")
+        return materialise(spread_join(both, right, "b", _hot(pairs, "b"), "a").filter(_similar("ta", "tb")).select("a", "b"), "links")
 
     # 1. every node against the smallest of its buckets' first nodes
     star = candidates.groupBy("node").agg(F.min("rep").alias("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -292,7 +315,8 @@ def node_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     def merge_links(links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return labels
-        between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        half = spread_join(links, label("a"), "a", _hot(links, "a"), "b", "left")
+        between = spread_join(half, label("b"), "b", _hot(links, "b"), "a", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         return _relabel(labels, components(between))
 
     # 2. against the first nodes in other components
@@ -320,11 +344,11 @@ def node_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
         return pd.DataFrame(spanning_links(group), columns=["a", "b"])
 
     tiles = rows_of.unionByName(columns_of).join(texts, "node").groupBy("key", "i", "j").applyInPandas(tile, "a binary, b binary")
-    labels = merge_links(links.unionByName(materialise(tiles.distinct(), "links")))
+    labels = merge_links(materialise(links.unionByName(tiles.distinct()), "links"))
 
-    linked = labels.join(nodes.select("node", "id"), "node")
+    linked = materialise(labels.join(nodes.select("node", "id"), "node"), "linked")
     named = linked.groupBy("label").agg(F.min(F.struct("id", "node")).alias("rep"))
-    linked = linked.join(named, "label").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.node").alias("rep_node"))
+    linked = spread_join(linked, named, "label", _hot(linked, "label"), "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.node").alias("rep_node"))
     alone = nodes.select("node", "id").join(linked.select("node"), "node", "left_anti").select("node", F.col("id").alias("rep_id"), F.col("node").alias("rep_node"))
     return rows.select("id", "node"), materialise(linked.unionByName(alone), "classes")
 
@@ -333,7 +357,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, class_id) for every row of docs: the smallest doc_id of its class of near duplicates."""
     rows, found = node_classes(docs, text)
     none = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return rows.join(found, "node").select(none("id").alias("doc_id"), none("rep_id").alias("class_id"))
+    return spread_join(rows, found, "node", _hot(rows, "node"), "id").select(none("id").alias("doc_id"), none("rep_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
