@@ -23,11 +23,10 @@ FIGURES = ("brut", "amortissement", "net", "value_n", "value_n_minus_1")
 
 def header_roles(headers: DataFrame, cut: float = 70.0) -> DataFrame:
     """(table, role, col_idx) of headers (table, col_idx, col_name): each header's best role, each role's first column."""
-    spark = headers.sparkSession
-    words = spark.createDataFrame([(r, w, i) for i, (r, ws) in enumerate(HEADERS.items()) for w in ws], "role string, word string, ord int")
     names = headers.select(F.lower(F.trim("col_name")).alias("name")).filter("name <> ''").distinct()
-    # headers are few distinct strings, words a fixed list: a broadcast of the list
-    pairs = names.withColumn("one", F.lit(1)).join(F.broadcast(words.withColumn("one", F.lit(1))), "one").drop("one")
+    # the fixed list of words goes along as an array: no join
+    listed = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(w).alias("word"), F.lit(i).alias("ord")) for i, (r, ws) in enumerate(HEADERS.items()) for w in ws])
+    pairs = names.withColumn("w", F.explode(listed)).select("name", "w.*")
     score = F.when(F.col("name") == F.col("word"), 100.0).otherwise(similarity.indel_ratio(F.col("name"), F.col("word")))
     best = pairs.withColumn("score", score).filter(F.col("score") >= cut).groupBy("name").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "role")).alias("b")).select("name", "b.role")
     own = headers.withColumn("name", F.lower(F.trim("col_name"))).join(best, "name")

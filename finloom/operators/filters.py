@@ -102,11 +102,31 @@ def of_tenant(rows: DataFrame, org) -> DataFrame:
     return rows.filter(F.col("org_id") == org)
 
 
+# Networks that no request may reach, as (first address, length of the prefix): version 4, then 6.
+PRIVATE_4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4))
+PRIVATE_6 = r"^(::1?$|::ffff:|64:ff9b:1:|100:0*:0*:0*:|100::|2001:0{0,4}[:0-9a-f]*|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|[0-9a-f]{0,3}:)"
+
+
+def _number_4(address: str) -> int:
+    return sum(int(x) << 8 * (3 - i) for i, x in enumerate(address.split(".")))
+
+
 def url_allowed(url: Column) -> Column:
-    """No private, loopback or link-local targets, http and https only."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2\d|3[01])\.|\[?::1)")
-    return F.lower(url).rlike("^https?://") & (host != "") & ~private
+    """Targets of http and https that are no private, loopback, link-local, reserved or multicast address, of version 4
+    or 6, no localhost and no name of an internal zone. NULL for NULL."""
+    rest = F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1)
+    place = F.lower(F.regexp_replace(rest, r"^.*@", ""))
+    six = F.regexp_extract(place, r"^\[([0-9a-f:.]*)(?:%[^\]]*)?\](?::[0-9]*)?$", 1)
+    host = F.when(place.startswith("["), six).otherwise(F.regexp_replace(place, r":[0-9]*$", ""))
+    is_4 = host.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$")
+    parts = F.split(host, r"\.")
+    number = F.when(is_4, sum((F.get(parts, F.lit(i)).try_cast("long") * (1 << 8 * (3 - i)) for i in range(4)), F.lit(0)))
+    private_4 = F.lit(False)
+    for first, length in PRIVATE_4:
+        low = _number_4(first)
+        private_4 = private_4 | number.between(low, low + (1 << 32 - length) - 1)
+    private = F.when(place.startswith("["), (six == "") | six.rlike(PRIVATE_6)).when(is_4, private_4).otherwise(host.isin("localhost") | host.endswith(".internal") | host.endswith(".local"))
+    return F.when(url.isNotNull(), F.coalesce((host != "") & ~private, F.lit(False)))
 
 
 def non_green(cells: DataFrame) -> DataFrame:
@@ -147,6 +167,25 @@ def schema_failures(rows: DataFrame, key: str, checks: dict[str, Column]) -> Dat
     return rows.select(key, F.explode(F.array_compact(failed)).alias("check"))
 
 
+# Kinds of document by the schema that checks them; others are checked as balance sheets.
+SCHEMAS = {"bilan": "balance_sheet", "balance_sheet": "balance_sheet", "compte_resultat": "income_statement", "income_statement": "income_statement"}
+
+
+def schema_of(kind: Column) -> Column:
+    """The schema of a kind of document, by default that of balance sheets."""
+    out = F.lit("balance_sheet")
+    for name, schema in SCHEMAS.items():
+        out = F.when(F.lower(kind) == name, schema).otherwise(out)
+    return out
+
+
+def checked_by_kind(rows: DataFrame, key: str, kind: str, checks: dict[str, dict[str, Column]]) -> DataFrame:
+    """(key, check) of failed checks, each row against the schema of its kind."""
+    schema = schema_of(F.col(kind))
+    failed = F.array(*[F.when((schema == s) & ~F.coalesce(ok, F.lit(False)), F.lit(name)) for s, by in checks.items() for name, ok in by.items()])
+    return rows.select(key, F.explode(F.array_compact(failed)).alias("check"))
+
+
 def balance_columns(df: DataFrame) -> DataFrame:
     """Totals and balance of a balance-sheet record."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,25 +69,69 @@ def session_groups(df: DataFrame, keys, order: str, breaks: Column, name: str =
     return df.withColumn("__break", F.coalesce(breaks.cast("int"), F.lit(1))).withColumn(name, F.sum("__break").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__break")
 
 
-def continuation_score(pages: DataFrame) -> DataFrame:
-    """Tables in page order with the four signals that a table continues the one before, and their sum."""
-    w = W.partitionBy("doc_id", "source").orderBy("page", "table_idx")
-    lag = lambda c: F.lag(c).over(w)
-    columns = (F.col("n_cols") == lag("n_cols")).cast("double")
-    near = F.size(F.filter(F.zip_with("x_offsets", lag("x_offsets"), lambda a, b: F.abs(a - b) < 5), lambda x: x))
-    aligned = F.when(F.col("x_offsets").isNull() | lag("x_offsets").isNull(), 0.5).otherwise((F.try_divide(near, F.size("x_offsets")) >= 0.8).cast("double"))
-    header = F.when(F.col("header").isNull() | lag("header").isNull(), 0.5).otherwise((text.sorted_tokens(F.col("header")) == text.sorted_tokens(lag("header"))).cast("double"))
-    is_open = (~F.exists(F.slice(lag("labels"), -3, 3), lambda x: F.contains(F.lower(x), F.lit("total")))).cast("double")
-    scored = pages.withColumns({"same_columns": columns, "aligned": aligned, "same_header": header, "open_section": is_open, "page_gap": F.col("page") - lag("page")})
-    return scored.withColumn("score", F.coalesce(F.col("same_columns") + F.col("aligned") + F.col("same_header") + F.col("open_section"), F.lit(0.0)))
-
-
-def merge_pages(pages: DataFrame, cut: float = 2.5) -> DataFrame:
-    """pages with merged: the number of the multi-page table that each belongs to."""
-    scored = continuation_score(pages)
-    w = W.partitionBy("doc_id", "source").orderBy("page", "table_idx").rowsBetween(W.unboundedPreceding, 0)
-    new = (F.coalesce(F.col("page_gap") > 1, F.lit(True)) | (F.col("score") < cut)).cast("int")
-    return scored.withColumn("__new", new).withColumn("merged", F.sum("__new").over(w)).drop("__new")
+# Words of header rows and of rows that close a section.
+HEADER_WORDS, CLOSING_WORDS = ("total", "brut", "amort", "net", "n-1", "exercice", "note"), ("total", "sous-total", "total des")
+
+
+def continuation_score(columns_a: Column, columns_b: Column, offsets_a: Column, offsets_b: Column, first_b: Column, labels_a: Column, likeness: Column) -> dict[str, Column]:
+    """The four signals that a table continues the one before, their sum, and whether its first row repeats the header.
+
+    columns: names; offsets: left edges; first_b: the first row's text; labels_a: the first column's last three texts;
+    likeness: token-sorted ratio of the joined names of a and the first row of b.
+    """
+    n = F.least(F.size(offsets_a), F.size(offsets_b))
+    near = F.size(F.filter(F.arrays_zip(F.slice(offsets_a, 1, F.greatest(n, F.lit(0))).alias("a"), F.slice(offsets_b, 1, F.greatest(n, F.lit(0))).alias("b")), lambda x: F.abs(x["a"] - x["b"]) < 5))
+    unknown = offsets_a.isNull() | offsets_b.isNull() | (n <= 0)
+    repeated = likeness >= 85
+    worded = reduce(lambda a, b: a | b, [F.contains(F.lower(first_b), F.lit(w)) for w in HEADER_WORDS])
+    closed = F.exists(labels_a, lambda x: F.contains(F.lower(x), F.lit("total")))
+    out = {
+        "same_columns": (F.size(columns_a) == F.size(columns_b)).cast("double"),
+        "aligned": F.when(unknown, 0.5).otherwise((F.try_divide(near, n) >= 0.8).cast("double")),
+        "same_header": F.when(first_b.isNull(), 0.0).when(repeated, 1.0).when(worded, 0.0).otherwise(0.5),
+        "open_section": F.when(F.size(labels_a) == 0, 0.0).otherwise((~closed).cast("double")),
+    }
+    out["score"] = reduce(lambda a, b: a + b, out.values())
+    out["repeats_header"] = F.coalesce(repeated, F.lit(False))
+    return out
+
+
+def merge_pages(tables: DataFrame, cut: float = 2.5) -> DataFrame:
+    """(doc_id, merged, row_idx, cells): the fragments of tables (doc_id, page, table_idx, columns array, x_offsets array or
+    NULL, rows array of arrays) put together where a fragment continues the table so far on the page before.
+
+    A fragment whose first row repeats the header loses it; its cells go under the names of the table so far, by place.
+    A fold over a document's tables in page order: a document is the unit, its tables are few.
+    """
+    from ..functions.similarity import token_sort_ratio
+
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit(""))), " ")
+    w = W.partitionBy("doc_id").orderBy("page", "table_idx")
+    text_of = tables.withColumns({"first": joined(F.get("rows", F.lit(0)))})
+    # a table's header is that of the fragment which began it: scores against every header in the document's order
+    listed = text_of.withColumn("n", F.row_number().over(w))
+    heads = listed.select("doc_id", F.col("n").alias("h"), joined(F.col("columns")).alias("head"))
+    pairs = listed.filter(F.size("rows") > 0).select("doc_id", "n", "first").join(heads, "doc_id").filter("h < n")
+    like = pairs.withColumn("like", token_sort_ratio(F.col("head"), F.col("first"))).groupBy("doc_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "like"))), lambda x: x["like"]).alias("like"))
+    each = listed.join(like, ["doc_id", "n"], "left")
+    item = F.struct("n", "page", "columns", "x_offsets", "rows", "first", "like")
+    by = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("t"))
+    last3 = lambda rows: F.transform(F.when(F.size(rows) > 3, F.slice(rows, -3, 3)).otherwise(rows), lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit("")))
+
+    def step(done: Column, t: Column) -> Column:
+        now = F.try_element_at(done, F.lit(-1))
+        likeness = F.coalesce(F.get(t["like"], now["n"] - 1), F.lit(0.0))
+        signals = continuation_score(now["columns"], t["columns"], now["x_offsets"], t["x_offsets"], t["first"], last3(now["rows"]), likeness)
+        goes_on = (F.size(done) > 0) & F.coalesce((t["page"] - now["page"] <= 1) & (signals["score"] >= cut), F.lit(False))
+        rows = F.when(signals["repeats_header"] & (F.size(t["rows"]) > 1), F.slice(t["rows"], 2, F.greatest(F.size(t["rows"]) - 1, F.lit(0)))).otherwise(t["rows"])
+        grown = F.struct(now["n"].alias("n"), t["page"].alias("page"), now["columns"].alias("columns"), now["x_offsets"].alias("x_offsets"), F.concat(now["rows"], rows).alias("rows"))
+        fresh = F.struct(t["n"].alias("n"), t["page"].alias("page"), t["columns"].alias("columns"), t["x_offsets"].alias("x_offsets"), t["rows"].alias("rows"))
+        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    empty = F.filter(F.transform("t", lambda t: F.struct(t["n"].alias("n"), t["page"].alias("page"), t["columns"].alias("columns"), t["x_offsets"].alias("x_offsets"), t["rows"].alias("rows"))), lambda t: F.lit(False))
+    merged = by.select("doc_id", F.posexplode(F.aggregate("t", empty, step)).alias("merged", "m"))
+    rows = merged.select("doc_id", "merged", "m.columns", F.posexplode("m.rows").alias("row_idx", "r"))
+    return rows.select("doc_id", "merged", "row_idx", F.zip_with(F.slice("columns", 1, F.least(F.size("columns"), F.size("r"))), F.slice("r", 1, F.least(F.size("columns"), F.size("r"))), lambda c, v: F.struct(c.alias("name"), v.alias("value"))).alias("cells"))
 
 
 def latest(df: DataFrame, keys, *order: Column) -> DataFrame:

@@ -6,6 +6,7 @@ and joined back; the rest are column expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,8 +135,38 @@ def repaired(c: Column, terms: list[tuple[str, str]] = ()) -> Column:
     return text.smart_punctuation(text.numeric_format_repair(text.split_camel(text.replace_terms(c, list(terms)))))
 
 
-def correction_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Corrections by category and their sum."""
-    count = lambda p: F.regexp_count(column, F.lit(p)).cast("long")
-    out = docs.withColumns({"n_signs": count(SIGN), "n_glyphs": count(GLYPH), "n_camel": count(CAMEL), "n_lost": count(LOST), "n_rules": count(RULE)})
-    return out.withColumn("n_corrections", F.expr("n_signs + n_glyphs + n_camel + n_lost + n_rules"))
+# Terms to split where no dictionary can be read.
+FALLBACK_TERMS = (
+    ("TOTALACTIF", "TOTAL ACTIF"),
+    ("TOTALPASSIF", "TOTAL PASSIF"),
+    ("CAPITAUXPROPRES", "CAPITAUX PROPRES"),
+    ("RESULTATNET", "RÉSULTAT NET"),
+    ("CHIFFREDAFFAIRES", "CHIFFRE D'AFFAIRES"),
+)
+# What is counted and rewritten, in order: (category, pattern, replacement). A sign or letter counts on the
+# text that the rewriting before it left.
+REWRITES = (
+    ("camel", "([a-zéèêëàâäùûüîïôöç])([A-ZÉÈÊËÀÂÄÙÛÜÎÏÔÖÇ])", "$1 $2"),
+    ("space", "([a-zéèêëàâäùûüîïôöç]{2,})([A-ZÉÈÊËÀÂÄÙÛÜÎÏÔÖÇ][a-zéèêëàâäùûüîïôöç]+)", "$1 $2"),
+    ("sign", r"(?m)^=(\d)", "-$1"), ("sign", r"\s=(\d)", " -$1"), ("sign", r"(?m)^:(\d)", "-$1"), ("sign", r"\s:(\d)", " -$1"), ("sign", r"(?m)^_(\d)", "-$1"), ("sign", r"\s_(\d)", " -$1"),
+    *(("glyph", rf"(\d){glyph}(\d)", rf"${{1}}{digit}$2") for glyph, digit in zip("OolISB", "001158")),
+)
+
+
+def correction_counts(docs: DataFrame, column: str = "text", terms=FALLBACK_TERMS) -> DataFrame:
+    """docs with the column rewritten step by step and n_terms, n_camel, n_space, n_sign, n_glyph, n_corrections.
+
+    Every step counts on the text that the step before it left. Each level stands behind a one-row generator, so that a
+    text is rewritten once.
+    """
+    from ..functions.columns import computed_once
+
+    out, total = computed_once(docs, "__t", F.struct(F.coalesce(F.col(column), F.lit("")).alias("t"), *[F.lit(0).cast("long").alias(c) for c in ("terms", "camel", "space", "sign", "glyph")])), []
+    steps = [("terms", "(?i)" + re.escape(wrong), right) for wrong, right in terms] + list(REWRITES)
+    for category, pattern, right in steps:
+        fixed = F.regexp_replace(F.col("__t.t"), pattern, right)
+        counts = [(F.col(f"__t.{c}") + (F.regexp_count(F.col("__t.t"), F.lit(pattern)) if c == category else F.lit(0))).alias(c) for c in ("terms", "camel", "space", "sign", "glyph")]
+        out = computed_once(out, "__t", F.struct(fixed.alias("t"), *counts))
+    total = sum((F.col(f"__t.{c}") for c in ("terms", "camel", "space", "sign", "glyph")), F.lit(0))
+    names = {f"n_{c}": F.col(f"__t.{c}") for c in ("terms", "camel", "space", "sign", "glyph")}
+    return out.withColumns({**names, "n_corrections": total, column: F.col("__t.t")}).drop("__t")

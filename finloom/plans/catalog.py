@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, quality, similarity, text
 from ..functions.columns import spread
-from ..operators import align, filters, match, ordered, route, rules, store
+from ..operators import align, filters, match, ordered, repair, route, rules, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,14 +92,26 @@ def ocr_repair(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.md5(text.numeric_format_repair(F.col("text"))).alias("repaired"))
 
 
-@query("""with c as (select doc_id, length(text) n, len(regexp_extract_all(text, '(^|\\s)[=:_~]\\d')) signs, len(regexp_extract_all(text, '\\d[OolISB]\\d')) glyphs,
- len(regexp_extract_all(text, '[a-zà-ÿ][A-ZÀ-Ý][a-zà-ÿ]')) camel, len(regexp_extract_all(text, '[�]')) lost from documents)
-select doc_id, cast(signs as bigint) signs, cast(glyphs as bigint) glyphs, cast(camel as bigint) camel, cast(lost as bigint) lost,
- round(case when signs + glyphs + camel + lost = 0 then 0.0 else least(0.08, (signs + glyphs + camel + lost) / greatest(n / 100.0::double, 10.0) * 0.01) end::double, 6) penalty from c""")
+def _rewritten_sql() -> str:
+    """CTEs that count and rewrite texts step by step as the engine does."""
+    steps = [("terms", wrong, right, "gi") for wrong, right in repair.FALLBACK_TERMS] + [(c, p.replace("(?m)", ""), r.replace("${1}", "\\1").replace("$1", "\\1").replace("$2", "\\2"), "gm" if "(?m)" in p else "g") for c, p, r in repair.REWRITES]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    sql, last = "t0 as (select doc_id, length(text) n, text t, 0 terms, 0 camel, 0 space, 0 sign, 0 glyph from documents)", "t0"
+    for i, (category, pattern, right, flags) in enumerate(steps, 1):
+        right = right.replace("$1", "\\1").replace("$2", "\\2")
+        counts = ", ".join(f"{c} + len(regexp_extract_all(t, {quoted(pattern)}, 0, '{flags.replace('g', '') or 'c'}')) {c}" if c == category else c for c in ("terms", "camel", "space", "sign", "glyph"))
+        sql += f",\n{'t%d' % i} as (select doc_id, n, regexp_replace(t, {quoted(pattern)}, {quoted(right)}, '{flags}') t, {counts} from {last})"
+        last = f"t{i}"
+    return "with " + sql + f", c as (select *, terms + camel + space + sign + glyph total from {last})"
+
+
+@query(_rewritten_sql() + """ select doc_id, terms::bigint n_terms, camel::bigint n_camel, space::bigint n_space, sign::bigint n_sign, glyph::bigint n_glyph, total::bigint n_corrections, md5(t) rewritten,
+ round(case when total = 0 then 0.0 else least(0.08, total / greatest(n / 100.0::double, 10.0) * 0.01) end::double, 6) penalty from c""")
 def correction_stats(spark: SparkSession, d: str) -> DataFrame:
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    found = _t(spark, d, "documents").select("doc_id", F.length("text").alias("n"), count(r"(^|\s)[=:_~]\d").alias("signs"), count(r"\d[OolISB]\d").alias("glyphs"), count("[a-zà-ÿ][A-ZÀ-Ý][a-zà-ÿ]").alias("camel"), count("[�]").alias("lost"))
-    return found.select("doc_id", "signs", "glyphs", "camel", "lost", F.round(quality.correction_penalty(F.expr("signs + glyphs + camel + lost"), F.col("n")), 6).alias("penalty"))
+    """Texts rewritten step by step, each step counted on what the one before left; the penalty for it."""
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text")).withColumn("n", F.length("text"))
+    found = repair.correction_counts(docs)
+    return found.select("doc_id", "n_terms", "n_camel", "n_space", "n_sign", "n_glyph", "n_corrections", F.md5("text").alias("rewritten"), F.round(quality.correction_penalty(F.col("n_corrections"), F.col("n")), 6).alias("penalty"))
 
 
 @query("select p_name label, trim(regexp_replace(strip_accents(lower(p_name)), '[''’‘`&\\s]+', ' ', 'g')) form, count(*) n from part group by 1, 2")
@@ -167,25 +179,88 @@ def edit_distance_top1(spark: SparkSession, d: str) -> DataFrame:
     return match.nearest_word(spelt, vocabulary)
 
 
-@query("""with f as (select distinct p_name form from part), l as (select distinct left(p_name, 2) || '?' || substr(p_name, 4) label from part)
-select label, count(form) hits, min(form) best, cast(case when count(form) = 1 then 0.99 when count(form) = 0 then 0.0 when count(form) <= 3 then 0.8 else 0.5 end as double) confidence
-from l left join f on regexp_full_match(form, replace(label, '?', '[eaiouycn]')) group by label""")
+def indel_sql(a: str, b: str) -> str:
+    """SQL: 100 x twice the longest common subsequence by the length of both, by a row of the table per character."""
+    row = f"list_transform(range(0, length({b}) + 1), lambda z: 0)"
+    step = f"list_prepend(0, list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[k + 1], acc[k] + case when unicode(substr({b}, k, 1)) = x[1] then 1 else 0 end)))))"
+    lcs = f"list_reduce(list_prepend({row}, list_transform(range(1, length({a}) + 1), lambda i: [unicode(substr({a}, i, 1))])), lambda acc, x: {step})[length({b}) + 1]"
+    return f"(case when length({a}) + length({b}) = 0 then 100.0 when length({a}) = 0 or length({b}) = 0 then 0.0 else 200.0 * {lcs} / (length({a}) + length({b})) end)::double"
+
+
+def _partial_sql(a: str, b: str) -> str:
+    """SQL: the best ratio of the shorter string with a window of the longer one, cut off at the ends."""
+    window = f"substr({b}, greatest(i, 0) + 1, i + length({a}) - greatest(i, 0))"
+    best = f"list_max(list_transform(range(1 - length({a}), length({b})), lambda i: {indel_sql(a, window)}))"
+    return best
+
+
+def _cascade_sql(labels: str, entries: str, more: str = "") -> str:
+    """SQL of the cascade: labels (label, form, scope), entries (scope, canonical, form, kind, ord), then CTEs ap (label,
+    override) and cu (label). Forms are lower-case words of letters."""
+    sorted_ = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    return f"""with lb as ({labels}), en as ({entries}), {more or "ap as (select null::varchar label, null::varchar override where false), cu as (select null::varchar label where false)"},
+ix as (select scope, form, min((kind, ord, canonical)) e from en group by 1, 2), fd as (select lb.*, e, override, cu.label is not null custom from lb left join ix using (scope, form) left join ap on ap.label = lb.label left join cu on cu.label = lb.label),
+op as (select distinct scope, form from fd where e is null and override is null and not custom and form <> ''),
+ca as (select scope, form cand, arg_max(canonical, ord) term, min(ord) ord from en where kind = 0 group by 1, 2),
+sc as (select scope, form, term, ord, {indel_sql('a', 'b')} s from (select scope, form, term, ord, {sorted_('form')} a, {sorted_('cand')} b from op join ca using (scope))),
+bs as (select scope, form, max(s) s, arg_max(term, (s, -ord)) term from sc group by 1, 2),
+pw as (select scope, form, ca.term, ca.ord, case when length(form) <= length(cand) then form else cand end a, case when length(form) <= length(cand) then cand else form end b from op join ca using (scope) left join bs b2 using (scope, form) where coalesce(b2.s, 0) < 85),
+pa as (select scope, form, max(p) p, arg_max(term, (p, -ord)) term from (select scope, form, term, ord, {_partial_sql('a', 'b')} p from pw) group by 1, 2),
+cascade as (select fd.*, case when custom or form = '' then null when e is not null then e[3] when override is not null then override when bs.s >= 85 then bs.term when pa.p >= 85 then pa.term end found,
+ case when form = '' then 'unrecognized' when custom then 'custom' when e is not null and e[1] = 0 then 'exact' when e is not null or override is not null then 'resolved' when bs.s >= 85 or pa.p >= 85 then 'fuzzy' else 'custom' end match_type,
+ round((case when form = '' or custom then 0 when e is not null and e[1] = 0 then 1 when e is not null or override is not null then 0.98 when bs.s >= 85 then bs.s / 100 when pa.p >= 85 then pa.p / 100 when bs.s >= 75 then bs.s / 100 else 0 end)::double, 6) match_confidence
+ from fd left join bs using (scope, form) left join pa using (scope, form))"""
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, c, "x", [t + "s"], o) for t, c, o in _DIM], "canonical string, section string, statement string, variations array<string>, ord int")
+
+
+_ALL_TERMS = " union all ".join(f"select 'a' scope, '{t}' canonical, lower('{t}{v}') form, {k} kind, {o} ord" for t, _, o in _DIM for k, v in ((0, ""), (1, "s")))
+_SCOPED_TERMS = _ALL_TERMS + " union all " + " union all ".join(f"select 's:{c}', '{t}', lower('{t}{v}'), {k}, {o}" for t, c, o in _DIM for k, v in ((0, ""), (1, "s"))) + " union all " + _ALL_TERMS.replace("'a'", "'t:x'")
+_LOST = "select distinct left(p_name, 2) || '?' || substr(p_name, 4) label from part"
+_RANK = "translate({}, 'eaioucny', '01234567')"
+
+
+@query(_cascade_sql(f"select distinct replace(label, '?', '') as label, replace(label, '?', '') form, 'a' scope from ({_LOST})", _ALL_TERMS) + f""",
+l as ({_LOST}), fl as (select label, replace(label, '?', c) form from l, (select unnest(string_split('eaioucny', '')) c)),
+ht as (select label, e[3] canonical, e[2] ord, min({_RANK.format("form")}) rank from fl join ix using (form) where scope = 'a' group by 1, 2, 3),
+hr as (select *, {indel_sql("low", "bare")} ratio from (select *, lower(canonical) low, replace(label, '?', '') bare from ht)),
+hb as (select label, count(*) hits, arg_min(canonical, (rank, ord)) f, arg_min(canonical, (-ratio, rank, ord)) c from hr group by 1)
+select l.label, cast(coalesce(hits, case when found is not null and match_confidence >= 0.8 then 1 else 0 end) as integer) hits,
+case when hits between 2 and 3 then c when hits is not null then f when found is not null and match_confidence >= 0.8 then found else l.label end best,
+round((case when hits = 1 then 0.99 when hits <= 3 then 0.8 when hits > 3 then 0.5 when found is not null and match_confidence >= 0.8 then least(0.8, match_confidence) else 0.5 end)::double, 6) confidence
+from l left join hb using (label) left join cascade on cascade.label = replace(l.label, '?', '')""")
 def wildcard_join(spark: SparkSession, d: str) -> DataFrame:
-    """Part names with a lost third letter against all part names."""
-    forms = _t(spark, d, "part").select(F.col("p_name").alias("form")).distinct()
-    labels = forms.select(F.concat(F.expr("substring(form, 1, 2)"), F.lit("?"), F.expr("substring(form, 4)")).alias("label"))
-    return match.wildcard_join(labels, forms)
+    """Part names with a lost third letter against the terms: fillings looked up, else the rest matched by similarity."""
+    names = _t(spark, d, "part").select("p_name").distinct()
+    labels = names.select(F.concat(F.expr("substring(p_name, 1, 2)"), F.lit("?"), F.expr("substring(p_name, 4)")).alias("label")).distinct()
+    return match.wildcard_join(labels, _terms(spark)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(_cascade_sql("select distinct p_name as label, lower(p_name) form, 'a' scope from part", _ALL_TERMS) + " select label, found canonical, match_type, match_confidence from cascade")
 def fuzzy_match_indel(spark: SparkSession, d: str) -> DataFrame:
-    """The full cascade over part names; Indel ratios are no SQL, tests hold them against brute force."""
-    terms = spark.createDataFrame([(t, c, "x", [t + "s"], o) for t, c, o in _DIM], "canonical string, section string, statement string, variations array<string>, ord int")
+    """The full cascade over part names."""
     labels = _t(spark, d, "part").select(F.col("p_name").alias("label")).distinct()
-    found = match.fuzzy_match(labels, terms)
+    found = match.fuzzy_match(labels, _terms(spark))
     return found.select("label", "canonical", "match_type", F.round("match_confidence", 6).alias("match_confidence"))
 
 
+@query(_cascade_sql("select distinct p_name as label, lower(p_name) form, case p_size % 3 when 0 then 's:tools' when 1 then 't:x' else 'a' end scope from part", _SCOPED_TERMS,
+ "ap as (select 'old plate' as label, 'Grand Bolt' override union all select 'new screw', 'small ring'), cu as (select 'big plate' as label union all select 'big ring')")
+ + " select label, case scope when 's:tools' then 'tools' else 'nowhere' end section, case scope when 't:x' then 'x' else 'y' end statement, found canonical, match_type, match_confidence from cascade")
+def fuzzy_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade within section, statement or everything, with confirmed customs and approved meanings from their log."""
+    k = F.col("p_size") % 3
+    labels = _t(spark, d, "part").select(F.col("p_name").alias("label"), F.when(k == 0, "tools").otherwise("nowhere").alias("section"), F.when(k == 1, "x").otherwise("y").alias("statement")).distinct()
+    log = spark.createDataFrame(
+        [("old plate", "blue gear", "fuzzy", True, 1), ("old plate", "Grand Bolt", "fuzzy", True, 2), ("new screw", "small ring", "fuzzy", True, 1), ("new plate", "red ring", "fuzzy", False, 1), ("old ring", "no term", "fuzzy", True, 1), ("big plate", None, "confirmed_custom", False, 1), ("big ring", None, "confirmed_custom", False, 3)],
+        "raw_text string, matched_to string, match_type string, approved boolean, ts int",
+    )
+    found = match.fuzzy_match(labels, _terms(spark), store.approved(log), store.confirmed_customs(log))
+    return found.select("label", "section", "statement", "canonical", "match_type", F.round("match_confidence", 6).alias("match_confidence"))
+
+
 @query("""with k as (select * from (values ('jewel', 'ring', 0), ('tool', 'widget', 0), ('tool', 'gear', 1)) v(figure, kw, prio))
 select p_brand brand, figure, arg_min(p_retailprice, (prio, p_partkey)) "value" from part join k on contains(p_name, kw) group by 1, 2""")
 def keyword_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -194,25 +269,23 @@ def keyword_priority(spark: SparkSession, d: str) -> DataFrame:
     return match.keyword_values(rows, words, ["brand"])
 
 
-_BOOST = {"bilan": ["des", "les"], "compte_resultat": ["the "], "flux_tresorerie": ["und", "der"]}
+_BOOST = {"bilan": [[" les ", " des "]], "compte_resultat": [[" the "]], "flux_tresorerie": [[" und ", " der "]]}
 
 
-@query("""with s as (select doc_id, lower(text) t from documents), v as (select doc_id, (3 * cast(regexp_matches(t, ' les | des ') as int))::double a, (3 * cast(regexp_matches(t, ' the ') as int))::double b, (3 * cast(regexp_matches(t, ' und | der ') as int))::double c from s)
-select doc_id, case when a + b + c = 0 then 'unknown' when a = greatest(a, b, c) then 'fr' when b = greatest(a, b, c) then 'en' else 'de' end label,
-round(case when a + b + c = 0 then 0.0 else least(1.0, 1.2 * greatest(a, b, c) / (a + b + c)) end::double, 6) confidence,
-case when a + b + c = 0 or least(1.0, 1.2 * greatest(a, b, c) / (a + b + c)) < 0.7 then 'REJECTED' else 'ACCEPTED' end status from v""")
+@query("""with s as (select doc_id, lower(l) t, case when contains(l, 'e') then lang else null end v from (select doc_id, lang, unnest(string_split(text, chr(10))) l from documents)),
+v as (select doc_id, count(*) filter (v = 'fr') + 3 * max(cast(regexp_matches(t, ' les | des ') as int)) a, count(*) filter (v = 'en') + 3 * max(cast(contains(t, ' the ') as int)) b, count(*) filter (v = 'de') + 3 * max(cast(regexp_matches(t, ' und | der ') as int)) c from s group by 1),
+w as (select *, greatest(a, b, c)::double m, (a + b + c)::double n from v),
+x as (select doc_id, case when n = 0 then 'unknown' when a = m then 'bilan' when b = m then 'compte_resultat' else 'flux_tresorerie' end as label, round((case when n = 0 then 0 else least(1.0::double, 1.2::double * m / n) end)::double, 6) confidence,
+ case when m < 2 then 'unknown' when a = m then 'bilan' when b = m then 'compte_resultat' else 'flux_tresorerie' end strict from w)
+select doc_id, label, confidence, strict, case when label = 'unknown' or confidence < 0.7 then 'REJECTED' else 'ACCEPTED' end status from x""")
 def doc_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted class with confidence, and the strict gate; classes are languages here, ties in order."""
-    low = F.lower("text")
-    words = {"fr": (" les ", " des "), "en": (" the ",), "de": (" und ", " der ")}
-    any_of = lambda ws: F.greatest(*[F.contains(low, F.lit(w)) for w in ws], F.lit(False))
-    rows = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[(3 * any_of(ws).cast("int")).cast("double").alias(n) for n, ws in words.items()])
-    top, total = F.greatest(*words), F.expr("fr + en + de")
-    label = F.when(total == 0, "unknown").when(F.col("fr") == top, "fr").when(F.col("en") == top, "en").otherwise("de")
-    confidence = F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), 1.2 * top / F.nullif(total, F.lit(0.0))))
-    named = rows.select("doc_id", label.alias("label"), F.round(confidence, 6).alias("confidence"))
+    """Lines vote and boost by the engine's classifier, languages in place of statements; then the strict gate."""
+    lines = spread(_t(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("label"))
+    named = F.when(F.col("lang") == "fr", "bilan").when(F.col("lang") == "en", "compte_resultat").when(F.col("lang") == "de", "flux_tresorerie")
+    rows = lines.select("doc_id", "label", F.when(F.contains("label", F.lit("e")), named).alias("statement"))
+    found = match.classify_statements(rows, ["doc_id"], boosters=_BOOST).withColumn("confidence", F.round("confidence", 6))
     category = F.when(F.col("label") == "unknown", "Autre").otherwise(F.col("label"))
-    return named.withColumn("status", filters.gate_status(category, F.col("confidence")))
+    return found.withColumn("status", filters.gate_status(category, F.col("confidence")))
 
 
 # --- order --------------------------------------------------------------------------------------------------------
@@ -235,21 +308,40 @@ def footing_check(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("o_orderkey"), F.col("expected").cast("double").alias("expected"), F.col("actual").cast("double").alias("actual"), "valid")
 
 
-@query("""select event_id, cast(sum(cast(value as decimal(18,2))) over w as double) total, count(*) over w n from events
-window w as (partition by user_id order by ts, event_id rows between 19 preceding and 1 preceding)""")
+@query("""with e as (select user_id, event_id, event_type = 'error' as t, cast(value as decimal(18,2)) v, row_number() over (partition by user_id order by ts, event_id) - 1 i from events),
+g as (select *, coalesce(sum(t::int) over (partition by user_id order by i rows between unbounded preceding and 1 preceding), 0) g from e),
+j as (select a.user_id, a.i, a.event_id, a.v expected, sum(b.v) actual, count(*) n from g a join g b on a.user_id = b.user_id and a.g = b.g and not b.t and b.i < a.i and b.i > greatest(0, a.i - 20) where a.t and a.v <> 0 group by all)
+select user_id, cast(i as integer) row_idx, expected::double expected, actual::double actual, n components, abs(expected::double - actual::double) <= greatest(abs(expected::double) * 0.01::double, 1) passed from j where n >= 2""")
 def row_sum_window(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, -1)
-    return _t(spark, d, "events").select("event_id", F.sum(_money("value")).over(w).cast("double").alias("total"), F.count("*").over(w).alias("n"))
+    """A user's errors as totals of the events since the error before, by the engine's check of row sums."""
+    i = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
+    rows = _t(spark, d, "events").select("user_id", i.alias("row_idx"), F.when(F.col("event_type") == "error", "Total").otherwise("part").alias("label"), _money("value").alias("value"))
+    found = ordered.row_sums(rows, ["user_id"])
+    one = lambda c: F.col(c).cast("double")
+    return found.select("user_id", "row_idx", one("expected").alias("expected"), one("actual").alias("actual"), "components", numbers.within(one("expected"), one("actual")).alias("passed"))
 
 
 @query("""with y as (select n_name nation, year(o_orderdate) y, sum(cast(o_totalprice as decimal(18,2))) r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
-v as (select nation, y, r, lag(r) over (partition by nation order by y) p from y)
-select nation, cast(y as integer) "year", round((cast(r as double) - cast(p as double)) / abs(cast(p as double)) * 100, 4) pct, (r > 2 * p or r * 2 < p) rupture from v where p is not null and p <> 0""")
+v as (select nation, y, r::double c, (lag(r) over (partition by nation order by y))::double p from y), w as (select *, (c - p) / abs(p) * 100 e, (y % 7)::double - 3 + (c - p) / abs(p) * 100 x from v where p is not null and p <> 0)
+select nation, cast(y as integer) "year", round(e, 4) expected, round(abs(x - e), 4) difference, abs(y % 7 - 3) <= 0.5 passed from w""")
 def variation_pct(spark: SparkSession, d: str) -> DataFrame:
-    """Yearly revenue of a nation against the year before; ruptures double or halve."""
+    """Yearly revenue of a nation against the year before, reported with an error that the engine's check finds."""
+    revenue = _revenue(spark, d).withColumn("p", F.lag("r").over(W.partitionBy("nation").orderBy("year")))
+    rows = revenue.select("nation", "year", F.col("r").cast("double").alias("current"), F.col("p").cast("double").alias("prior"))
+    told = rows.withColumn("reported", F.col("year") % 7 - 3 + numbers.variation(F.col("current"), F.col("prior")))
+    found = ordered.variation_check(told)
+    return found.select("nation", "year", F.round("expected", 4).alias("expected"), F.round("difference", 4).alias("difference"), "passed")
+
+
+@query("""with y as (select n_name nation, year(o_orderdate) y, sum(cast(o_totalprice as decimal(18,2))) r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
+v as (select nation, y, r::double c, (lag(r) over (partition by nation order by y))::double p from y), w as (select *, case y % 3 when 0 then '' when 1 then '1000' else 'n.d.' end raw, (c - p) / abs(p) * 100 e from v)
+select nation, cast(y as integer) "year", p is not null and p <> 0 and (raw <> '1000' or abs(1000 - e) > 5) corrected, case when p is not null and p <> 0 and (raw <> '1000' or abs(1000 - e) > 5) then replace(printf('%+.1f', e), '.', ',') || '%' else raw end variation from w""")
+def variation_fix(spark: SparkSession, d: str) -> DataFrame:
+    """Missing or wrong changes in percent written anew in French form."""
     revenue = _revenue(spark, d).withColumn("p", F.lag("r").over(W.partitionBy("nation").orderBy("year")))
-    pct = numbers.variation(F.col("r").cast("double"), F.col("p").cast("double"))
-    return revenue.filter("p is not null and p <> 0").select("nation", "year", F.round(pct, 4).alias("pct"), F.expr("r > 2 * p or r * 2 < p").alias("rupture"))
+    raw = F.when(F.col("year") % 3 == 0, "").when(F.col("year") % 3 == 1, "1000").otherwise("n.d.")
+    rows = revenue.select("nation", "year", F.col("r").cast("double").alias("current"), F.col("p").cast("double").alias("prior"), raw.alias("variation"))
+    return ordered.correct_variation(rows).select("nation", "year", F.coalesce("corrected", F.lit(False)).alias("corrected"), "variation")
 
 
 def _revenue(spark: SparkSession, d: str) -> DataFrame:
@@ -258,13 +350,28 @@ def _revenue(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("nation", "year").agg(F.sum("r").alias("r"))
 
 
-@query("""with t as (select conv_id, turn, role, lag(turn) over (partition by conv_id order by turn) p from conversations)
-select conv_id, turn, cast(sum(case when p is null or turn - p > 1 or role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as bigint) part from t""")
+@query("""with p as (select conv_id, turn page, case when turn % 2 = 0 then ['Label', 'Net'] else ['a', 'b'] end c, case when role = 'user' then [10.0, 20.0] else [10.0, 40.0] end x,
+ case when turn % 3 = 1 then [['Net', 'Label'], ['r' || turn, '1']] else [['r' || turn, '1'], [case when turn % 5 = 4 then 'Total' else 's' || turn end, '2']] end r from conversations),
+q as (select *, row_number() over (partition by conv_id order by page) n, lag(page) over (partition by conv_id order by page) pp, lag(r) over (partition by conv_id order by page) pr from p),
+rec as (with recursive s as (select conv_id, n, page, c hc, x hx, r rows_, 0 as merged, r own from q where n = 1
+ union all select q.conv_id, q.n, q.page, case when go then hc else q.c end, case when go then hx else q.x end, case when go then list_concat(rows_, case when dup then q.r[2:] else q.r end) else q.r end, case when go then merged else merged + 1 end, case when go and dup then q.r[2:] else q.r end
+ from (select q.*, s.hc, s.hx, s.rows_, s.merged, s.page sp, q.r[1] = ['Net', 'Label'] and s.hc = ['Label', 'Net'] dup,
+  q.page - s.page <= 1 and 1 + (case when list_aggregate(list_transform(range(1, 3), lambda i: case when abs(s.hx[i] - q.x[i]) < 5 then 1 else 0 end), 'sum') / 2.0 >= 0.8 then 1 else 0 end)
+  + (case when q.r[1] = ['Net', 'Label'] and s.hc = ['Label', 'Net'] then 1 when q.r[1] = ['Net', 'Label'] then 0 else 0.5 end)
+  + (case when len(list_filter(s.rows_[greatest(len(s.rows_) - 2, 1):], lambda y: contains(lower(y[1]), 'total'))) > 0 then 0 else 1 end) >= 2.5 as go from s join q on q.conv_id = s.conv_id and q.n = s.n + 1) q) select * from s)
+select conv_id, cast(merged as integer) merged, cast(row_number() over (partition by conv_id, merged order by n, k) - 1 as integer) row_idx, hc[1] || '=' || row_[1] || ';' || hc[2] || '=' || row_[2] cells
+from (select conv_id, merged, n, hc, unnest(own) row_, unnest(range(len(own))) k from rec)""")
 def merge_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as pages: a gap or a user's turn begins a new part."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    new = F.lag("turn").over(w).isNull() | (F.col("turn") - F.lag("turn").over(w) > 1) | (F.col("role") == "user")
-    return ordered.session_groups(_t(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", new, "part").select("conv_id", "turn", "part")
+    """Turns of a conversation as fragments of tables on pages, put together by the engine's merger."""
+    turn = F.col("turn")
+    names = F.when(turn % 2 == 0, F.array(F.lit("Label"), F.lit("Net"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    offsets = F.when(F.col("role") == "user", F.array(F.lit(10.0), F.lit(20.0))).otherwise(F.array(F.lit(10.0), F.lit(40.0)))
+    first = F.array(F.concat(F.lit("r"), turn.cast("string")), F.lit("1"))
+    header = F.array(F.array(F.lit("Net"), F.lit("Label")), first)
+    plain = F.array(first, F.array(F.when(turn % 5 == 4, "Total").otherwise(F.concat(F.lit("s"), turn.cast("string"))), F.lit("2")))
+    tables = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("page"), F.lit(0).alias("table_idx"), names.alias("columns"), offsets.alias("x_offsets"), F.when(turn % 3 == 1, header).otherwise(plain).alias("rows"))
+    shown = F.array_join(F.transform("cells", lambda c: F.concat_ws("=", c["name"], c["value"])), ";")
+    return ordered.merge_pages(tables).select(F.col("doc_id").alias("conv_id"), "merged", "row_idx", shown.alias("cells"))
 
 
 @query("""with s as (select doc_id, string_split(text, chr(10)) l, lang from documents), n as (select *, case when len(l) >= 3 then len(l) else 1 end k from s)
@@ -275,13 +382,17 @@ def explode_merged(spark: SparkSession, d: str) -> DataFrame:
     return ordered.explode_merged_rows(rows, ["doc_id"], ["text", "lang"]).select("doc_id", "line", F.md5("text").alias("cell"), "lang")
 
 
-@query("""select user_id, event_id, event_type, prev, (prev, event_type) in (('view', 'click'), ('click', 'purchase'), ('view', 'view')) legal from
-(select user_id, event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) prev from events) where prev is not null""")
+@query("""with d as (select c_custkey document_id, case c_custkey % 3 when 0 then 'draft' when 1 then 'validated' else 'archived' end status, (c_custkey % 2)::int held from customer),
+c as (select event_id, user_id document_id, case event_type when 'click' then 'validated' when 'view' then 'rejected' when 'purchase' then 'archived' else 'draft' end target, case when event_id % 4 = 0 then null else (event_id % 2)::int end version from events)
+select event_id, target, cast(case when status is null then 404 when version is not null and version <> held then 412 when (status, target) not in (('draft', 'validated'), ('draft', 'rejected'), ('validated', 'archived')) then 409 else 200 end as integer) code,
+case when status is not null and (version is null or version = held) and (status, target) in (('draft', 'validated'), ('draft', 'rejected'), ('validated', 'archived')) then target else status end new_status from c left join d using (document_id)""")
 def state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive events of a user as transitions, legal or not."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    moves = _t(spark, d, "events").withColumn("prev", F.lag("event_type").over(w)).filter("prev is not null")
-    return moves.select("user_id", "event_id", "event_type", "prev", F.expr("concat_ws('>', prev, event_type) in ('view>click', 'click>purchase', 'view>view')").alias("legal"))
+    """Events as review commands against customers as documents, with optimistic versions."""
+    k = F.col("c_custkey") % 3
+    documents = _t(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.when(k == 0, "draft").when(k == 1, "validated").otherwise("archived").alias("status"), (F.col("c_custkey") % 2).cast("int").alias("version"))
+    target = F.when(F.col("event_type") == "click", "validated").when(F.col("event_type") == "view", "rejected").when(F.col("event_type") == "purchase", "archived").otherwise("draft")
+    commands = _t(spark, d, "events").select("event_id", F.col("user_id").alias("document_id"), target.alias("target"), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 2).cast("int")).alias("version"))
+    return store.transition(documents, commands).select("event_id", "target", "code", "new_status")
 
 
 # --- rules --------------------------------------------------------------------------------------------------------
@@ -397,21 +508,27 @@ def text_medoid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with a as (select o_custkey k, o_orderstatus s, o_orderkey i, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) n from orders), b as (select o_custkey k, o_orderstatus s, o_orderkey i, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) n from orders where o_orderkey % 5 <> 0)
-select a.k custkey, a.i a_idx, b.i b_idx from a left join b on a.k = b.k and a.s is not distinct from b.s and a.n = b.n""")
+select a.k custkey, a.i a_idx, b.i b_idx, case when b.i is null then 'a_orphan' else 'position' end "method" from a left join b on a.k = b.k and a.s is not distinct from b.s and a.n = b.n""")
 def positional_align(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of a customer zipped by position within their status, one source lacking every fifth."""
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        n = F.row_number().over(W.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey"))
-        return df.select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("section"), n.alias("n"), F.col("o_orderkey").alias(name))
-
-    orders = _t(spark, d, "orders")
-    a, b = numbered(orders, "a_idx"), numbered(orders.filter("o_orderkey % 5 <> 0"), "b_idx").withColumnsRenamed({"custkey": "c2", "section": "s2", "n": "n2"})
-    return a.join(b, (F.col("custkey") == F.col("c2")) & F.col("section").eqNullSafe(F.col("s2")) & (F.col("n") == F.col("n2")), "left").select("custkey", "a_idx", "b_idx")
-
-
-@query()
+    """Orders of a customer against a reading that lacks every fifth: labels say nothing, so the position in the status does."""
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("row_idx"), F.lit(None).cast("string").alias("canonical"), F.col("o_orderstatus").alias("section"))
+    found = align.align_rows(orders.withColumn("label", F.lit("aaaa")), orders.filter("row_idx % 5 <> 0").withColumn("label", F.lit("zzzz")), ["custkey"])
+    return found.select("custkey", "a_idx", "b_idx", "method")
+
+
+@query(f"""with n as (select p_brand brand, p_name, cast(row_number() over (partition by p_brand order by p_name) as integer) i from (select distinct p_brand, p_name from part)),
+u as (select distinct a.p_name x, b.p_name || 'x' y from n a join n b using (brand)), sc as (select x, y, {indel_sql("x", "y")} / 100 s from u),
+pr as (select a.brand, a.i a_idx, b.i b_idx, s from n a join n b using (brand) join sc on x = a.p_name and y = b.p_name || 'x' where s >= 0.7),
+od as (select *, row_number() over (partition by brand order by s desc, a_idx, b_idx) o from pr),
+two as (with recursive g as (select brand, 0::bigint o, [0] ua, [0] ub, 0 a_idx, 0 b_idx, 0.0::double s, false took from (select distinct brand from n)
+ union all select g.brand, od.o, case when ok then list_append(ua, od.a_idx) else ua end, case when ok then list_append(ub, od.b_idx) else ub end, od.a_idx, od.b_idx, od.s, ok
+ from g join od on od.brand = g.brand and od.o = g.o + 1, lateral (select not list_contains(ua, od.a_idx) and not list_contains(ub, od.b_idx) ok) z) select brand, a_idx, b_idx, s from g where took),
+ra as (select brand, i, row_number() over (partition by brand order by i) k from n where (brand, i) not in (select brand, a_idx from two)), rb as (select brand, i, row_number() over (partition by brand order by i) k from n where (brand, i) not in (select brand, b_idx from two)),
+th as (select ra.brand, ra.i a_idx, rb.i b_idx from ra join rb using (brand, k))
+select brand, a_idx, b_idx, 'text' "method", round(s, 6) score from two union all select brand, a_idx, b_idx, 'position', 0.5 from th
+union all select brand, i, null, 'a_orphan', 0 from ra where (brand, i) not in (select brand, a_idx from th) union all select brand, null, i, 'b_orphan', 0 from rb where (brand, i) not in (select brand, b_idx from th)""")
 def greedy_text_align(spark: SparkSession, d: str) -> DataFrame:
-    """Part names of a brand against their misspelt twins: four-phase alignment, no SQL twin."""
+    """Part names of a brand against their misspelt twins: four-phase alignment."""
     names = _t(spark, d, "part").select(F.col("p_brand").alias("brand"), "p_name").distinct()
     n = F.row_number().over(W.partitionBy("brand").orderBy("p_name")).cast("int")
     rows = names.select("brand", n.alias("row_idx"), F.col("p_name").alias("label"), F.lit(None).cast("string").alias("canonical"), F.lit("s").alias("section"))
@@ -478,9 +595,15 @@ def tumbling_rate(spark: SparkSession, d: str) -> DataFrame:
     return store.rate_limited(requests, 1, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""select page_id, regexp_matches(lower(url), '^https?://') and not regexp_matches(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') allowed from pages""")
+_HOSTS = ["http://[::1]/x", "http://[fd00::1]/", "http://10.0.0.7/", "http://172.31.0.1:80", "http://172.32.0.1", "https://a.internal/y", "http://printer.local", "http://224.0.0.1", "http://localhost:8080", "http://[2606:4700::1111]/", "ftp://example.com", "https://u:p@example.com:8443/", "http://8.8.8.8", "http://[::ffff:127.0.0.1]/"]
+_GUARDED = {0: False, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 7: False, 8: False, 9: True, 10: False, 11: True, 12: True, 13: False}
+
+
+@query("select page_id, case page_id % 15 " + " ".join(f"when {i} then {str(ok).lower()}" for i, ok in _GUARDED.items()) + " else regexp_matches(lower(url), '^https?://[a-z]') and not regexp_matches(lower(url), '^[a-z]+://(localhost|[^/:?#]*[.](internal|local))([/:?#]|$)') end allowed from pages")
 def url_guard(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("page_id", filters.url_allowed(F.col("url")).alias("allowed"))
+    """Page addresses, fourteen of every fifteen replaced by ones that a guard must know."""
+    url = F.coalesce(F.get(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 15).cast("int")), F.col("url"))
+    return _t(spark, d, "pages").select("page_id", filters.url_allowed(url).alias("allowed"))
 
 
 @query("""with c as (select doc_id, case when n_chars < 200 then 'Autre' else 'Bilan' end category, 0.5 + (doc_id % 50) / 100.0::double confidence, doc_id % 3 = 0 green, 0.90 + (doc_id % 10) / 100.0::double q0, 0.5 + (doc_id % 40) / 100.0::double q1, 0.6 + (doc_id % 30) / 100.0::double q3, doc_id % 7 = 0 crit from documents)

@@ -28,7 +28,8 @@ def test_balance_and_report(spark):
 
 
 def test_income_anomaly_ratio(spark):
-    rows = statement(spark, [("Résultat d'exploitation", 300), ("Résultat financier", -50), ("Impôt sur les bénéfices", -150), ("Résultat net", 100), ("Capital social", -5), ("Chiffre d'affaires", 0)]).withColumn("statement", F.lit("compte_resultat"))
+    rows = statement(spark, [("Résultat d'exploitation", 300), ("Résultat financier", -50), ("Impôts sur les bénéfices", -150), ("Résultat net", 100), ("Capital social", -5), ("Chiffre d'affaires", 0)])
+    rows = rows.withColumn("statement", F.when(F.col("label") == "Capital social", "bilan").otherwise("compte_resultat")).withColumn("table_idx", F.when(F.col("statement") == "bilan", 1).otherwise(0))
     got = {r.check_name: r.passed for r in rules.validate(rows, spark).collect()}
     assert got["V1-003 Income equation"] and got["V3-001 Negative capital"] is False and got["V3-002 Revenue is zero"] is False and got["V4-001 Working capital"]
 
@@ -61,11 +62,15 @@ def test_explode_merged_rows(spark):
 
 
 def test_page_merge(spark):
-    def pages(second):
-        return spark.createDataFrame([("d", "s", 0, 0, 2, [1.0, 2.0], "a b", ["x", "y"]), ("d", "s", second, 1, 2, [1.0, 2.0], "a b", ["z"])], "doc_id string, source string, page int, table_idx int, n_cols int, x_offsets array<double>, header string, labels array<string>")
+    def tables(second, header="Label Net", offsets=(1.0, 2.0)):
+        data = [("d", 0, 0, ["Label", "Net"], [1.0, 2.0], [["x", "1"], ["y", "2"]]), ("d", second, 0, ["a", "b"], list(offsets) if offsets else None, [header.split(), ["z", "3"]])]
+        return spark.createDataFrame(data, "doc_id string, page int, table_idx int, columns array<string>, x_offsets array<double>, rows array<array<string>>")
 
-    assert ordered.merge_pages(pages(1)).select("merged").distinct().count() == 1
-    assert ordered.merge_pages(pages(5)).select("merged").distinct().count() == 2
+    got = [(r.merged, r.row_idx, [(c.name, c["value"]) for c in r.cells]) for r in ordered.merge_pages(tables(1)).orderBy("merged", "row_idx").collect()]
+    assert got == [(0, 0, [("Label", "x"), ("Net", "1")]), (0, 1, [("Label", "y"), ("Net", "2")]), (0, 2, [("Label", "z"), ("Net", "3")])]
+    assert {r.merged for r in ordered.merge_pages(tables(5)).collect()} == {0, 1}
+    assert ordered.merge_pages(tables(1, "p q", None)).count() == 4  # neutral signals go on, the first row is data
+    assert {r.merged for r in ordered.merge_pages(tables(1, "p total", (50.0, 90.0))).collect()} == {0, 1}
 
 
 def test_fuzzy_cascade(spark):
@@ -78,11 +83,25 @@ def test_fuzzy_cascade(spark):
     assert got["zzz qqq"][1] == "custom" and got[""][1] == "unrecognized"
 
 
+def test_fuzzy_rules(spark):
+    """Scope, customs and approved meanings by the label as written, canonical forms only by similarity."""
+    terms = spark.createDataFrame([("Immobilisations incorporelles", "actifs_non_courants", "bilan", ["Actifs incorporels"], 0), ("Autres créances", "actifs_courants", "bilan", [], 1), ("Autres dettes", "passifs_courants", "bilan", [], 2), ("Autres", "passifs_courants", "bilan", ["Autres créances"], 3)], TERMS)
+    labels = spark.createDataFrame([("Mon poste libre", None), ("mon poste libre", None), ("Actif incorporels", None), ("Autres créances", "passifs_courants"), ("Autres créances", "nowhere"), ("machin", None), ("truc", None)], "label string, section string")
+    customs = spark.createDataFrame([("Mon poste libre",)], "label string")
+    approved = spark.createDataFrame([("machin", "Autres dettes"), ("truc", "no such term")], "raw_text string, matched_to string")
+    got = {(r.label, r.section): (r.canonical, r.match_type, round(r.match_confidence, 2)) for r in match.fuzzy_match(labels, terms, approved, customs).collect()}
+    assert got[("Mon poste libre", None)] == (None, "custom", 0.0) and got[("machin", None)] == ("Autres dettes", "resolved", 0.98)
+    assert got[("Actif incorporels", None)][1] in ("custom", "fuzzy") and got[("Actif incorporels", None)][2] != 0.97
+    assert got[("Autres créances", "passifs_courants")] == ("Autres", "resolved", 0.98) and got[("Autres créances", "nowhere")] == ("Autres créances", "exact", 1.0)
+    assert got[("truc", None)][1] == "custom"
+
+
 def test_wildcards(spark):
-    forms = spark.createDataFrame([("resultat",), ("resultot",), ("stocks",)], "form string")
-    labels = spark.createDataFrame([("R?sultat",), ("St�cks",), ("Zz?",)], "label string")
-    got = {r.label: (r.hits, r.confidence) for r in match.wildcard_join(labels, forms).collect()}
-    assert got == {"R?sultat": (1, 0.99), "St�cks": (1, 0.99), "Zz?": (0, 0.0)}
+    terms = spark.createDataFrame([("Résultat", "r", "bilan", [], 0), ("Stocks", "a", "bilan", [], 1), ("Résultat de l'exercice", "r", "bilan", [], 2), ("pane", None, "bilan", [], 3), ("pine", None, "bilan", [], 4)], TERMS)
+    labels = spark.createDataFrame([("R?sultat",), ("St�cks",), ("Zz?",), ("R?s?lt?t de l'exercice",), ("p?ne",)], "label string")
+    got = {r.label: (r.hits, r.best, round(r.confidence, 2)) for r in match.wildcard_join(labels, terms).collect()}
+    assert got["R?sultat"] == (1, "Résultat", 0.99) and got["St�cks"] == (1, "Stocks", 0.99) and got["Zz?"] == (0, "Zz?", 0.5)
+    assert got["R?s?lt?t de l'exercice"] == (1, "Résultat de l'exercice", 0.8) and got["p?ne"] == (2, "pane", 0.8)
 
 
 def test_classify(spark):
@@ -137,9 +156,9 @@ def test_promotions(spark):
 
 
 def test_url_guard(spark):
-    urls = ["https://example.com/x", "http://127.0.0.1/", "ftp://example.com", "http://10.1.2.3", "http://localhost:8", None, "http://172.20.0.1/"]
+    urls = ["https://example.com/x", "http://127.0.0.1/", "ftp://example.com", "http://10.1.2.3", "http://localhost:8", None, "http://172.20.0.1/", "http://[::1]/", "http://[fd00::1]:80/x", "http://x.internal", "http://printer.local/", "http://224.0.0.1", "http://[2606:4700::1111]/", "https://u:p@example.com:8443", "http://8.8.8.8", "http://", "http://[::ffff:10.0.0.1]/"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(filters.url_allowed(F.col("u"))).collect()]
-    assert got == [True, False, False, False, False, None, False]
+    assert got == [True, False, False, False, False, None, False, False, False, False, False, False, True, True, True, False, False]
 
 
 def test_sources(spark, tmp_path):
