@@ -112,13 +112,13 @@ def correct_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def correct_phrases(rows: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
     """rows with the column's words corrected; numbers stay, white space collapses to blanks; changed tells which rows."""
     numeric = F.col(column).rlike(text.NUMERIC_CLASS)
-    phrases = rows.select(F.col(column).alias("phrase")).filter(F.col("phrase").isNotNull() & ~F.col("phrase").rlike(text.NUMERIC_CLASS)).distinct()
-    tokens = phrases.select("phrase", F.posexplode(F.split(F.trim(F.regexp_replace("phrase", r"\s+", " ")), " ")).alias("pos", "token"))
+    phrases = rows.select(F.col(column).alias("__phrase")).filter(F.col("__phrase").isNotNull() & ~F.col("__phrase").rlike(text.NUMERIC_CLASS)).distinct()
+    tokens = phrases.select("__phrase", F.posexplode(F.split(F.trim(F.regexp_replace("__phrase", r"\s+", " ")), " ")).alias("pos", "token"))
     fixed = tokens.join(correct_tokens(tokens, vocabulary), "token")
-    joined = fixed.groupBy("phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda x: x["corrected"]), " ").alias("fixed"))
-    out = rows.join(joined, rows[column] == joined["phrase"], "left")
-    value = F.when(numeric | F.col("fixed").isNull(), F.col(column)).otherwise(F.col("fixed"))
-    return out.withColumn("changed", ~value.eqNullSafe(F.col(column))).withColumn(column, value).drop("phrase", "fixed")
+    joined = fixed.groupBy("__phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda x: x["corrected"]), " ").alias("__fixed"))
+    out = rows.join(joined, rows[column] == joined["__phrase"], "left")
+    value = F.when(numeric | F.col("__fixed").isNull(), F.col(column)).otherwise(F.col("__fixed"))
+    return out.withColumn("changed", ~value.eqNullSafe(F.col(column))).withColumn(column, value).drop("__phrase", "__fixed")
 
 
 def resolve_lines(docs: DataFrame, resolved: DataFrame, sure: float = 0.80) -> DataFrame:

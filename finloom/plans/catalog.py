@@ -647,3 +647,6 @@ def top_k(spark: SparkSession, d: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(_money("l_quantity")).cast("double").alias("sum_qty"), F.sum(_money("l_extendedprice")).cast("double").alias("sum_base_price"), F.round(F.sum(_money("l_discount")).cast("double") / F.count("*"), 6).alias("avg_disc"), F.count("*").alias("count_order"))
+
+
+from . import statements  # noqa: E402, F401  (registers its queries)
