@@ -562,9 +562,9 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with o as (select user_id, ts, lag(ts) over (partition by user_id order by ts) p from events), s as (select user_id, ts, sum(case when p is null or ts >= p + interval '30 minutes' then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) k from o),
-g as (select user_id, k, count(*) n, min(ts) a, max(ts) b from s group by 1, 2) select user_id, count(*) sessions, max(n) most, sum(epoch(b) - epoch(a))::bigint "seconds" from g group by 1""")
+g as (select user_id, k, count(*) n, min(ts) a, max(ts) b from s group by 1, 2) select user_id, count(*) sessions, max(n) most, sum(epoch_us(b) - epoch_us(a))::bigint micros from g group by 1""")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users by gaps of half an hour."""
     found = streams.sessions(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
-    span = F.unix_seconds("end") - F.unix_seconds("start") - 1800
-    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("most"), F.sum(span).alias("seconds"))
+    span = F.unix_micros("end") - F.unix_micros("start") - 1_800_000_000
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("most"), F.sum(span).alias("micros"))
