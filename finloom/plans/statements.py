@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers, quality, text
 from ..operators import align, columns, filters, match, ordered, repair, route, rules, store
@@ -508,7 +509,7 @@ def sources_json(spark: SparkSession, d: str) -> DataFrame:
 _DOCX = '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _docx(names: pd.Series, amounts: pd.Series) -> pd.Series:
     """Word-processor files with a paragraph, a table of four rows, one of two, and an image."""
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
