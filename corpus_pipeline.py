@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: each stage reads what its predecessor wrote and applies its decisions."""
+"""The training-corpus pipeline: each stage reads what its predecessor wrote and applies its decisions.
+
+Defined results, for every stage: columns beyond those of documents are dropped, also where they are named like one an
+operator adds; a null id is a document like others, last in order; a null source is a source; repeated rows are judged
+alike until near duplicates leave one of them; texts of any length are read whole; an empty table gives an empty table
+of the stage's columns.
+"""
 
 from __future__ import annotations
 
@@ -12,23 +18,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go; null and empty texts have too few words."""
     return quality.keep(docs).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; n_chars follows the text."""
+    """Lines that an earlier document holds go; n_chars follows the text, which is empty where all lines went or it was null."""
     done = linededup.dedup_lines(docs.select(*COLUMNS))
     return done.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of smallest id stays."""
+    """Of each class of near duplicates the document of smallest id stays; equal texts, empty ones too, are one class."""
     return neardup.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; none do where the benchmark is empty."""
     found = decontam.find_overlap(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("hit_runs") == 0).select(*COLUMNS)
 
