@@ -8,9 +8,11 @@ which shares one of 8 bands with probability 1 - 0.34^8 > 0.9998. Templates of f
 of one shingle, whose minimum is the shingle's own hash and cannot miss. What is retrieved is verified exactly: the share of the template's shingles that the
 whole text holds must reach 0.8.
 
-The template index is a list of the caller's, bounded by `MAX_KEYS` and checked; it is the only thing broadcast.
+The template index goes along with the plan as a set of literals while it has `MAX_KEYS` keys at most: looking a key up
+takes the same time whatever the number of templates. A larger index stays a table: the rows' shingles are stored, their
+keys exploded and joined with it, and the rows that share a key with a template read again.
 
-Defined results: null and empty texts, and texts under five words, match nothing; a template of fewer than five words
+Defined results: null and empty texts, and texts under five words, match nothing; very long texts are read whole; a template of fewer than five words
 is refused; repeated rows match alike; an empty table gives an empty table; further columns pass through, those named
 like a result are replaced.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_WORD, once
+from .common import FOLDED_WORD, materialise, once
 
 #: Statements of license as they stand in files and pages, by SPDX identifier.
 TEMPLATES = (
@@ -37,10 +39,21 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("WTFPL", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar."),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 WINDOW, STEP, BANDS, SHORT, CONTAINMENT = 16, 8, 8, 32, 0.8
-#: The template index may have so many keys at most.
+#: Keys of the template index up to which it goes along with the plan.
 MAX_KEYS = 20_000
 
 _WORDS = "regexp_extract_all(lower({t}), '" + FOLDED_WORD.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}") + "', 0)"
@@ -71,8 +84,6 @@ def template_index(spark, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     if made.filter("size(shingles) = 0").count():
         raise ValueError("a template has fewer than five words")
     keys = made.select("template", F.explode(F.expr(f"case when size(shingles) < {SHORT} then shingles else {_every('all')} end")).alias("key")).distinct()
-    if keys.count() > MAX_KEYS:
-        raise ValueError(f"the template index has more than {MAX_KEYS} keys")
     return made.select("template", "license", "shingles"), keys
 
 
@@ -82,19 +93,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, text: str = "text", containment:
     made, keys = template_index(spark, templates)
     results = {"template", "license", "n_template", "n_shared", "containment"}
     passing = [c for c in docs.columns if c not in results]
-    index = {r["key"]: r["templates"] for r in keys.groupBy("key").agg(F.collect_set("template").alias("templates")).collect()}  # bounded by MAX_KEYS
-    listed = F.array(*[F.lit(k).cast("long") for k in index])
-    owners = F.map_from_arrays(listed, F.array(*[F.array(*map(F.lit, sorted(t))) for t in index.values()]))
+    listed = sorted({r["key"] for r in keys.select("key").distinct().limit(MAX_KEYS + 1).collect()})
     folded = once(docs.select(*[F.col(f"`{c}`") for c in passing]), "__s_w", _WORDS.format(t=f"coalesce(`{text}`, '')"))
     hashed = once(folded, "__s_h", _SHINGLES.format(w="__s_w")).drop("__s_w").filter("size(__s_h) > 0")
     blocks = hashed
     for b in range(BANDS):
         blocks = once(blocks, f"__s_{b}", _blocks("__s_h", b))
     keyed = F.expr(f"concat(__s_h, {', '.join(_pairs(f'__s_{b}', b) for b in range(BANDS))})")
-    hits = once(blocks, "__s_k", F.array_intersect(keyed, listed)).drop(*[f"__s_{b}" for b in range(BANDS)]).filter("size(__s_k) > 0")
-    # few rows are left; each row's keys name its candidate templates
-    candidates = hits.withColumn("__s_t", F.array_distinct(F.flatten(F.transform("__s_k", lambda k: F.element_at(owners, k)))))
-    pairs = candidates.select(*[F.col(f"`{c}`") for c in passing], "__s_h", F.explode("__s_t").alias("template")).join(F.broadcast(made), "template")
+    bands = [f"__s_{b}" for b in range(BANDS)]
+    if len(listed) <= MAX_KEYS:
+        hits = once(blocks, "__s_k", F.filter(keyed, lambda k: k.isin(listed))).drop(*bands).filter("size(__s_k) > 0")
+        # few rows are left; each row's keys name its candidate templates
+        named = hits.withColumn("__s_row", F.monotonically_increasing_id())
+        named = materialise(named, "licenses")
+        touched = named.select("__s_row", F.explode(F.array_distinct("__s_k")).alias("key"))
+    else:
+        named = materialise(once(blocks, "__s_k", keyed).drop(*bands).withColumn("__s_row", F.monotonically_increasing_id()), "licenses")
+        touched = named.select("__s_row", F.explode(F.array_distinct("__s_k")).alias("key"))
+    candidates = touched.join(keys, "key").select("__s_row", "template").distinct()
+    pairs = named.drop("__s_k").join(candidates, "__s_row").join(made, "template")
     shared = F.size(F.array_intersect("shingles", "__s_h"))
     found = pairs.withColumns({"n_template": F.size("shingles").cast("long"), "n_shared": shared.cast("long")})
     out = found.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= containment)

@@ -272,6 +272,15 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_with_a_large_index(spark, monkeypatch):
+    """Beyond the literals the index is joined as a table, with the same result."""
+    texts = EDGE + ["so " + t for _, t in licenses.TEMPLATES]
+    find = lambda: sorted((r.doc_id, r.template, r.n_shared) for r in licenses.scan(docs(spark, texts)).collect())
+    few = find()
+    monkeypatch.setattr(licenses, "MAX_KEYS", 5)
+    assert find() == few and {t for _, t, _ in few} == set(range(len(licenses.TEMPLATES)))
+
+
 # --- 1
 
 def test_toxicity(spark):
