@@ -108,6 +108,19 @@ select doc_id, size, cast(e.n as bigint) source_size, target, cast(size * (whole
 from d join e on d.source is not distinct from e.source left join cut on d.source is not distinct from cut.source
 """
 
+#: Exact similarity of all texts that share a shingle, and the closure of the links; texts are numbered by their content.
+ORACLES["op6_near_duplicates"] = rf"""
+with recursive d as (select doc_id, coalesce(doc_id, 9223372036854775807) id, dense_rank() over (order by coalesce(text, '')) t, coalesce(text, '') x from documents),
+u as (select t, regexp_extract_all(lower(any_value(x)), '{_W}') w from d group by t),
+g as (select distinct t, list_aggregate(w[i:i + 4], 'string_agg', ' ') g from (select t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from u where len(w) > 0)),
+n as (select t, count(*) n from g group by t),
+p as (select a.t a, b.t b, count(*) k from g a join g b on a.g = b.g and a.t < b.t group by 1, 2),
+l as (select a, b from p join n na on na.t = a join n nb on nb.t = b where k >= 0.8::double * (na.n + nb.n - k)),
+e as (select a, b from l union select b, a from l), r as (select t a, t b from u union select r.a, e.b from r join e on e.a = r.b),
+c as (select r.a t, min(d.id) m from r join d on d.t = r.b group by 1)
+select doc_id, case when m <> 9223372036854775807 then m end class_id from d join c using (t)
+"""
+
 _F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op9_decontamination"] = rf"""

@@ -509,6 +509,35 @@ def test_near_duplicates_repeated_shingles():
         assert (bands[::2] == bands[1::2]).any(1).all()
 
 
+def strata(rnd, pairs):
+    """Pairs of texts at 0.80 to 0.86: short, long, with a repeated phrase in one of them."""
+    out = {}
+    for name, n, extra, repeat in (("short", 60, 12, 1), ("long", 1500, 300, 1), ("repeated phrase", 130, 18, 200), ("near 0.85", 400, 60, 1)):
+        out[name] = []
+        while len(out[name]) < pairs:
+            a = words(rnd, n, 10**6)
+            b = a + (" " + words(rnd, extra, 10**6)) * repeat
+            if 0.80 <= neardup.similarity(neardup.shingles(a), neardup.shingles(b)) <= 0.87:
+                out[name].append((a, b))
+    return out
+
+
+def test_near_duplicate_recall_by_strata():
+    for name, pairs in strata(random.Random(16), 60).items():
+        bands, _ = neardup.sketch([t for p in pairs for t in p])
+        assert (bands[::2] == bands[1::2]).any(1).mean() >= 0.98, name
+
+
+def test_near_duplicate_hubs(spark, monkeypatch):
+    """A text with very many near copies, rows of hot keys spread."""
+    monkeypatch.setattr(neardup, "HUB", 4)
+    rnd = random.Random(17)
+    base = words(rnd, 90, 10**6)
+    texts = [base] + [base + f" tail{i}" for i in range(60)] + [base] * 30 + [words(rnd, 40, 10**6) for _ in range(5)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, texts)).collect()}
+    assert got == brute.classes(list(enumerate(texts)))
+
+
 def test_prob_minhash_estimates():
     import numpy as np
 
