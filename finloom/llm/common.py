@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: A word of a text: a run of anything but blank, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]++"
 #: A word of the folded form: letters and digits of any script. As positive ranges the pattern runs four times as fast
@@ -21,22 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="finloom-"))
-        at = context._jsc.sc().getCheckpointDir().get()
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return stored(df, name)
 
 
 def text_or_empty(name: str = "text") -> Column:

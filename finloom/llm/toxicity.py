@@ -76,10 +76,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """score = sigmoid(bias + sum of weight[bucket] x share): the softmax of the mean embedding, multiplied out."""
+    """score = sigmoid(bias + sum of weight[bucket] x share): the softmax of the mean embedding, multiplied out.
 
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight, bias
+    parts: the embeddings with their rarity, the softmax's weights and biases, as trained.
+    """
+
+    def __init__(self, weight: np.ndarray, bias: float, parts: tuple | None = None):
+        self.weight, self.bias, self.parts = weight, bias, parts
 
     def score(self, text: str | None) -> float:
         total, n = 0.0, 0
@@ -127,7 +130,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             b -= 0.1 * rate * p.sum(0).astype(np.float32)
             E[used] -= rate * np.stack([np.bincount(place, back[:, j], len(used)) for j in range(WIDTH)], 1).astype(np.float32)
     difference = (W[:, 1] - W[:, 0]).astype(np.float64)
-    return Model(E.astype(np.float64) @ difference * rarity, float(b[1] - b[0]))
+    return Model(E.astype(np.float64) @ difference * rarity, float(b[1] - b[0]), (E * rarity[:, None], W, b))
 
 
 #: A bag as bytes: two-byte bucket numbers, four-byte shares.

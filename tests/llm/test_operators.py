@@ -306,6 +306,31 @@ def test_toxicity(spark):
     assert none.score("x") < 1e-6
 
 
+def test_score_is_the_softmax_of_the_mean_embedding():
+    """The folded score against n-grams cut one by one, their embeddings averaged, and the softmax as trained."""
+    np = toxicity.np
+
+    def gram(text):
+        h = 0
+        for c in text:
+            h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+        return (h * 0x85EBCA6B % 2**32 >> 16) % toxicity.BUCKETS
+
+    def plain(text, parts):
+        E, W, b = parts
+        line = " " + re.sub(r"[\W_]+", " ", text.lower()).strip() + " "
+        grams = [gram(line[i : i + n]) for n in toxicity.LENGTHS for i in range(len(line) - n + 1) if " " not in line[i + 1 : i + n - 1]]
+        z = (E[grams].astype(float).mean(0) if grams else np.zeros(E.shape[1])) @ W + b
+        return float(np.exp(z[1]) / np.exp(z).sum())
+
+    rnd = random.Random(18)
+    texts = [words(rnd, 30) + (" nasty" if i % 3 == 0 else " kind") for i in range(90)]
+    model = toxicity.train([toxicity.bag(t) for t in texts], np.array([i % 3 == 0 for i in range(90)], np.int64))
+    for t in texts[:20] + ["nastyy w1", "Ünï_code 漢字", "a", "", "..."]:
+        assert model.score(t) == pytest.approx(plain(t, model.parts), abs=1e-5), t
+
+
 def test_bag_pieces(monkeypatch):
     text = "some words ähnlich to these " * 40
     whole = toxicity.bag(text)
