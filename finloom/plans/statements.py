@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers, quality, text
+from ..functions.times import iso_utc
 from ..operators import align, columns, filters, match, ordered, repair, route, rules, store
 from ..sources import dictionary, documents, readers
 from ..storage import shared_dir, stored
@@ -569,3 +570,42 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     found = streams.sessions(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
     span = F.unix_micros("end") - F.unix_micros("start") - 1_800_000_000
     return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("most"), F.sum(span).alias("micros"))
+
+
+@query("""select event_type, count(*) n, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00') first from events group by 1""")
+def stream_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream whose micro-batches are handed to a sink each; instants as ISO text."""
+    at, out, mark = (_folder(spark, n) for n in ("stream", "sink", "progress"))
+    events = _t(spark, d, "events").select("event_id", "ts", "event_type")
+    events.repartition(2, "event_id").write.parquet(at)
+    stream = streams.read_events(spark, at, events.schema)
+    streams.fan_out(stream, mark, lambda batch, i: batch.write.mode("append").parquet(out))
+    return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz")).groupBy("event_type").agg(F.count("*").alias("n"), F.min(iso_utc(F.col("ts"))).alias("first"))
+
+
+@query("""with p as (select p_brand d, p_partkey i, case when p_size % 2 = 0 then upper(p_name) else p_name end l, case when p_brand < 'Brand#3' then p_size::double end z, p_partkey % 17 = 0 b, p_size from part), m as (select d, list_sort(list(z)) s from p where z is not null group by d)
+select d doc_id, i row_idx, case when s is not null then b or z >= 1.15::double * s[len(s) // 2 + 1] else p_size % 2 = 0 and length(l) between 3 and 80 end is_heading from p left join m using (d)""")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    """Headings by font size against the table's middle or by bold type, where no fonts are known by capitals."""
+    rows = _t(spark, d, "part").select(
+        F.col("p_brand").alias("doc_id"), F.lit("a").alias("source"), F.lit(0).alias("table_idx"), F.col("p_partkey").alias("row_idx"), F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("label"),
+        F.when(F.col("p_brand") < "Brand#3", F.col("p_size").cast("double")).alias("font_size"), (F.col("p_partkey") % 17 == 0).alias("bold"),
+    )
+    return ordered.heading_rows(rows).select("doc_id", "row_idx", "is_heading")
+
+
+@query("""with c as (select c_custkey k, c_nationkey n from customer), t as (select n, count(*) m from c group by 1)
+select cast(k as varchar) doc_id, case when k % 3 = 0 then 'ocr' else 'native' end as text, cast(case when k % 2 = 0 then 3 else 2 end as bigint) tables, ['a', 'b', 'c'] columns, k % 5 <> 0 noisy,
+ case when k % 4 = 0 then 'Needs Correction' when k % 7 >= 5 then 'Excellent' when k % 7 >= 3 then 'Good' else 'Acceptable' end quality from c""")
+def reading_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The first tier's tables and texts, united columns, columns in which dots are noise, and a quality to suggest."""
+    i = F.col("c_custkey")
+    base = _t(spark, d, "customer").select(i.cast("string").alias("doc_id"), i.alias("k"))
+    k = F.col("k")
+    native = base.select("doc_id", F.explode(F.when(k % 2 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))).alias("table_idx"))
+    optical = base.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("table_idx"))
+    cells, texts = route.first_tier(native, optical, base.select("doc_id", F.when(k % 3 == 0, " ").otherwise("native").alias("text")), base.select("doc_id", F.lit("ocr").alias("text")))
+    raw = base.select("doc_id", F.lit("a").alias("source"), F.lit(0).alias("table_idx"), F.lit(1).alias("col_idx"), F.explode(F.when(k % 5 == 0, F.array(F.lit("12.345"), F.lit("99.999"), F.lit("1234"))).otherwise(F.array(F.lit("12345"), F.lit("99.999"), F.lit("1234")))).alias("raw_value"))
+    noisy = columns.dots_are_noise(raw).select("doc_id", "noisy")
+    united = base.select("doc_id", align.union_columns(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c"))).alias("columns"), rules.suggested_quality(k % 4 != 0, F.when(k % 7 >= 5, 0.9).when(k % 7 >= 3, 0.8).otherwise(0.1)).alias("quality"))
+    return texts.join(cells.groupBy("doc_id").agg(F.count("*").alias("tables")), "doc_id").join(united, "doc_id").join(noisy, "doc_id")
