@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import similarity, text
 from ..functions.columns import flag_of, rank_flag
+from ..storage import stored
+from .match import blocked_pairs, dimension
 
 
 def align_rows(a: DataFrame, b: DataFrame, keys, config: Config = DEFAULT) -> DataFrame:
@@ -30,9 +32,14 @@ def align_rows(a: DataFrame, b: DataFrame, keys, config: Config = DEFAULT) -> Da
 
     one = first(left, "a_term", "a_idx").join(first(right, "b_term", "b_idx"), [*keys, "term"]).select(*keys, "a_idx", "b_idx", F.lit("canonical").alias("method"), F.lit(1.0).alias("score"))
     rest_a, rest_b = left.join(one, [*keys, "a_idx"], "left_anti"), right.join(one, [*keys, "b_idx"], "left_anti")
-    pairs = rest_a.join(rest_b, keys).withColumn("score", similarity.indel_ratio(text.normalize(F.col("a_label")), text.normalize(F.col("b_label"))) / 100)
-    two = greedy_pairs(pairs.filter(F.col("score") >= config.align_cut).select(*keys, "a_idx", "b_idx", "score"), keys)
-    two = two.select(*keys, "a_idx", "b_idx", F.lit("text").alias("method"), "score")
+    # candidates share two neighbouring characters, ends included: complete for ratios from 0.67 up; each pair of texts
+    # of a table is scored once
+    form = lambda df, side: df.withColumns({"scope": F.struct(*keys), "form": text.normalize(F.col(f"{side}_label"))})
+    form_a, form_b = form(rest_a, "a"), form(rest_b, "b")
+    scored = blocked_pairs(form_a, form_b, "form", "\u0001").withColumn("score", similarity.indel_ratio(F.col("l"), F.col("r")) / 100).filter(F.col("score") >= config.align_cut)
+    pairs = scored.join(form_a.withColumnRenamed("form", "l").select("scope", "l", *keys, "a_idx"), ["scope", "l"]).join(form_b.withColumnRenamed("form", "r").select("scope", "r", "b_idx"), ["scope", "r"])
+    two = greedy_pairs(pairs.select(*keys, "a_idx", "b_idx", "score"), keys)
+    two = stored(two.select(*keys, "a_idx", "b_idx", F.lit("text").alias("method"), "score"), "pairs")
     rest_a, rest_b = rest_a.join(two, [*keys, "a_idx"], "left_anti"), rest_b.join(two, [*keys, "b_idx"], "left_anti")
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
@@ -184,7 +191,7 @@ def merge_rows(alignment: DataFrame, a: DataFrame, b: DataFrame, keys) -> DataFr
 
 def anchors(rows: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx")) -> DataFrame:
     """(keys, source): each table's source of largest weight, then of most rows, then first by name."""
-    by = rows.groupBy(*keys, "source").agg(F.count("*").alias("n")).join(F.broadcast(weights), "source")
+    by = rows.groupBy(*keys, "source").agg(F.count("*").alias("n")).join(dimension(weights), "source")
     w = W.partitionBy(*keys).orderBy(F.col("weight").desc(), F.col("n").desc(), "source")
     return by.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*keys, "source")
 
@@ -205,7 +212,7 @@ def row_groups(rows: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx")
 
 def vote_groups(grouped: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx")) -> DataFrame:
     """Row of a group: metadata of its heaviest labelled member, a subtotal if any member is one."""
-    rows = grouped.join(F.broadcast(weights), "source")
+    rows = grouped.join(dimension(weights), "source")
     best = F.struct(F.col("label").isNotNull().alias("named"), F.col("weight"))
     return rows.groupBy(*keys, "group_id").agg(F.max_by(F.struct("label", "canonical", "section"), best).alias("m"), F.bool_or("is_subtotal").alias("is_subtotal"), F.count("*").alias("members")).select(*keys, "group_id", "m.*", "is_subtotal", "members")
 
@@ -213,7 +220,7 @@ def vote_groups(grouped: DataFrame, weights: DataFrame, keys=("doc_id", "table_i
 def ensemble(rows: DataFrame, cells: DataFrame, weights: DataFrame, keys=("doc_id", "table_idx"), tolerance: float = 1.0) -> DataFrame:
     """Any number of readings (rows, cells by source) voted cell by cell: (keys, group_id, col_name, winner and its flags)."""
     grouped = row_groups(rows, weights, keys).select(*keys, "source", "row_idx", "group_id")
-    placed = cells.join(grouped, [*keys, "source", "row_idx"]).join(F.broadcast(weights), "source")
+    placed = cells.join(grouped, [*keys, "source", "row_idx"]).join(dimension(weights), "source")
     return vote_cells(placed, [*keys, "group_id", "col_name"], tolerance)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.match import dimension
+
 TERM = "canonical string, section string, statement string, variations array<string>, ord int, account_code string, field string"
 
 
@@ -48,7 +50,7 @@ def prompt_vocabulary(found: DataFrame, statement: str | None = None) -> DataFra
 
 def side_keywords(found: DataFrame, sections: DataFrame) -> DataFrame:
     """(side, keyword): lower-case terms and variations of the balance sheet's sides, each once."""
-    rows = found.join(F.broadcast(sections.select("section", "side")), "section")
+    rows = found.join(dimension(sections.select("section", "side")), "section")
     words = rows.select("side", F.explode(F.concat(F.array("canonical"), "variations")).alias("w"))
     return words.select("side", F.lower("w").alias("keyword")).distinct()
 
