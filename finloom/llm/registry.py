@@ -121,6 +121,21 @@ c as (select r.a t, min(d.id) m from r join d on d.t = r.b group by 1)
 select doc_id, case when m <> 9223372036854775807 then m end class_id from d join c using (t)
 """
 
+#: Texts as hexadecimal digits, cut into pieces of 2,000 bytes with the 49 after them, so that windows are cut from short strings.
+ORACLES["op5_suffix_dedup"] = """
+with d as (select row_number() over () rid, doc_id, coalesce(doc_id, 9223372036854775807) id, hex(encode(coalesce(text, ''))) h from documents),
+b as (select *, length(h) // 2 n from d),
+c as (select rid, id, o, substr(h, 2 * o + 1, 4098) s from (select *, unnest(range(0, n, 2000)) o from b)),
+w as (select rid, id, o + j p, substr(s, 2 * j + 1, 100) g from (select *, unnest(range(0, least(2000, length(s) // 2 - 49))) j from c)),
+f as (select g, min(id) lowest from w group by g having min(id) < max(id)),
+e as (select rid, p, case when p - lag(p) over (partition by rid order by p) <= 50 then 0 else 1 end fresh from (select w.rid, w.p from w join f using (g) where w.id > f.lowest)),
+r as (select rid, p, sum(fresh) over (partition by rid order by p) k from e), s as (select rid, k, min(p) a, max(p) + 50 z from r group by rid, k),
+t as (select rid, count(*) n_spans, sum(z - a) n_removed, list(a order by a) a, list(z order by a) z from s group by rid),
+k as (select b.*, coalesce(n_spans, 0) n_spans, coalesce(n_removed, 0) n_removed, list_prepend(0, coalesce(z, [])) begins, list_append(coalesce(a, []), n) ends from b left join t using (rid))
+select doc_id, cast(n as bigint) n_bytes, cast(n_removed as bigint) n_removed, cast(n_spans as bigint) n_spans,
+ sha256(unhex(array_to_string(list_transform(range(1, len(begins) + 1), lambda i: substr(h, 2 * begins[i] + 1, 2 * (ends[i] - begins[i]))), ''))) kept_sha256 from k
+"""
+
 _F = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op9_decontamination"] = rf"""

@@ -7,7 +7,10 @@ before it as the strings that it anchors cover.
 
 Runs. Tasks read documents in chunks and sort each chunk's records; equal records become one with a list of places.
 A run is cut into ranges by the record's first 8-gram, front-coded (common prefix with the predecessor, then the rest)
-and compressed: this is all that is exchanged.
+and compressed: this is all that is exchanged. A chunk is cut into `FAN` pieces at most, as short pieces share no
+prefixes. Where the input needs more ranges, runs of one coarse range meet in groups of about a chunk, are merged into
+one sorted run and cut into `FAN` finer ranges, and so on: pieces stay as long, and what is exchanged grows by one round
+for every factor of `FAN`.
 
 Merge. For each range one task decodes its runs and drops the records neither of whose halves any other record shares
 (no string through them can repeat). A loser tree merges the rest: players carry the length of their common prefix with
@@ -41,6 +44,8 @@ SPAN, GRAM = 50, 8
 LEFT = SPAN - GRAM  # bytes before an anchor at most
 #: Bytes of a chunk, records of a run, bytes of text to a range and to a bucket, positions hashed at once.
 CHUNK, RUN, RANGE, BLOCK = 8_000_000, 400_000, 4_000_000, 1 << 20
+#: Ranges that a run is cut into at most.
+FAN = 512
 #: Slots that ids are hashed to, one bit each: whether rows share an id of the slot (a power of two).
 SLOTS = 1 << 22
 _LAST = 2**63 - 1
@@ -113,8 +118,16 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
 _RUN = "u1 u1 u1 u1 u1 <u4 <u4 <u4 <i8 <i8"
 
 
-def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, tags: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, front-coded run) of a chunk of documents."""
+def widths(ranges: int) -> list[int]:
+    """Fine ranges to a range of each round, the last one 1."""
+    out = [1]
+    while ranges > FAN * out[0]:
+        out.insert(0, out[0] * FAN)
+    return out
+
+
+def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, tags: np.ndarray, ranges: int, width: int = 1) -> Iterator[tuple[int, bytes]]:
+    """(range of width fine ranges, front-coded run) of a chunk of documents."""
     anchors, firsts, lasts = find_anchors(data, starts, ends)
     padded = np.frombuffer(bytes(64) + data + bytes(64), np.uint8)
     after = np.lib.stride_tricks.sliding_window_view(padded, SPAN)
@@ -128,30 +141,51 @@ def sorted_runs(data: bytes, starts: np.ndarray, ends: np.ndarray, ids: np.ndarr
         rows[:, SPAN:-2] = before[a + 64 - LEFT][:, ::-1]
         rows[:, SPAN:-2][np.arange(LEFT) >= lo[:, None]] = 0
         rows[:, -2], rows[:, -1] = lo, ro
-        text = rows.view(f"S{rows.shape[1]}").ravel()
-        order = np.argsort(text, kind="stable")
-        rows, text = rows[order], text[order]
-        new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        members = np.diff(np.concatenate([new, [len(a)]]))
         doc = np.searchsorted(starts, a, "right") - 1
-        place = (a - starts[doc])[order]
-        doc = doc[order]
-        rows = rows[new]
-        gram = np.ascontiguousarray(rows[:, :GRAM]).view("<u8").ravel()
-        part = ((_scatter(gram + _U(1)) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[by], np.arange(ranges + 1))
-        for p in np.flatnonzero(np.diff(bounds)):
-            pick = by[bounds[p] : bounds[p + 1]]
-            r, count = rows[pick], members[pick]
-            same = r[1:, :SPAN] == r[:-1, :SPAN]
-            lcp = np.concatenate([[0], np.where(same.all(1), SPAN, np.argmin(same, 1))]).astype(np.uint8)
-            column = np.arange(SPAN)
-            tails = r[:, :SPAN][(column >= lcp[:, None]) & (column < r[:, -1:])]
-            lefts = r[:, SPAN:-2][np.arange(LEFT) < r[:, -2:-1]]
-            where = np.repeat(new[pick], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            used, table = np.unique(doc[where], return_inverse=True)
-            yield int(p), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, count.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used]])
+        yield from _cut(rows, np.ones(len(a), np.int64), doc, a - starts[doc], ids, tags, ranges, width)
+
+
+def _cut(rows: np.ndarray, count: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, tags: np.ndarray, ranges: int, width: int) -> Iterator[tuple[int, bytes]]:
+    """Front-coded runs by range of records (rows) that stand at count places each; doc: rows of ids and tags."""
+    text = rows.view(f"S{rows.shape[1]}").ravel()
+    order = np.argsort(text, kind="stable")
+    rows, text = rows[order], text[order]
+    begin = (np.cumsum(count) - count)[order]
+    member = np.repeat(begin - np.cumsum(count[order]) + count[order], count[order]) + np.arange(count.sum())
+    doc, place = doc[member], place[member]
+    new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    members = np.add.reduceat(count[order], new)
+    first = np.cumsum(members) - members
+    rows = rows[new]
+    gram = np.ascontiguousarray(rows[:, :GRAM]).view("<u8").ravel()
+    part = ((_scatter(gram + _U(1)) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64) // width
+    by = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(part[by]) != 0, [True]]))
+    for a, b in zip(edges, edges[1:]):
+        pick = by[a:b]
+        r, n = rows[pick], members[pick]
+        same = r[1:, :SPAN] == r[:-1, :SPAN]
+        lcp = np.concatenate([[0], np.where(same.all(1), SPAN, np.argmin(same, 1))]).astype(np.uint8)
+        column = np.arange(SPAN)
+        tails = r[:, :SPAN][(column >= lcp[:, None]) & (column < r[:, -1:])]
+        lefts = r[:, SPAN:-2][np.arange(LEFT) < r[:, -2:-1]]
+        where = np.repeat(first[pick], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        used, table = np.unique(doc[where], return_inverse=True)
+        yield int(part[pick[0]]), _pack([lcp, r[:, -2], r[:, -1], tails, lefts, n.astype("<u4"), table.astype("<u4"), place[where].astype("<u4"), np.diff(ids[used], prepend=0), tags[used]])
+
+
+def merged_runs(blobs: list[bytes], ranges: int, width: int) -> Iterator[tuple[int, bytes]]:
+    """Runs of one range as one sorted run, cut into finer ranges."""
+    runs = [decode_run(b) for b in blobs]
+    cat = {k: np.concatenate([r[k] for r in runs]) for k in runs[0]}
+    runs.clear()
+    rows = np.concatenate([cat["right"], cat["left"], cat["lo"][:, None].astype(np.uint8), cat["ro"][:, None].astype(np.uint8)], 1)
+    order = np.lexsort((cat["tag"], cat["doc"]))
+    d, t = cat["doc"][order], cat["tag"][order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    yield from _cut(rows, cat["count"], number, cat["place"], d[new], t[new], ranges, width)
 
 
 def decode_run(blob: bytes) -> dict[str, np.ndarray]:
@@ -410,13 +444,21 @@ def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE)
     def marked() -> np.ndarray:
         return np.unpackbits(np.frombuffer(marks.value, np.uint8)).astype(bool)
 
+    rounds = widths(parts)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = marked()
         for batch in batches:
             for chunk in _columns(batch, shared):
-                found = list(sorted_runs(*chunk, parts))
+                found = list(sorted_runs(*chunk, parts, rounds[0]))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in found], pa.int32()), "run": pa.array([r for _, r in found], pa.binary())})
 
+    def finer(width: int):
+        def cut_again(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(list(merged_runs(list(group["run"]), parts, width)), columns=["part", "run"])
+
+        return cut_again
+
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         doc, tag, begin, end = repeats_of_range(list(group["run"]))
         out = [(p, None, _pack([doc[i], tag[i], begin[i], end[i]])) for p, i in _by_bucket(doc, parts)]
@@ -434,6 +476,10 @@ def find_repeats(docs: DataFrame, text: str = "text", range_bytes: int = RANGE)
         return _settle([b for b in group["docs"] if b is not None], [b for b in group["found"] if b is not None])
 
     runs = read.mapInArrow(cut, "part int, run binary")
+    for coarse, width in zip(rounds, rounds[1:]):
+        # groups of a coarse range with about a chunk's records each
+        groups = max(int(total or 0) * coarse // parts // CHUNK, 1)
+        runs = runs.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups))).groupBy("part", "g").applyInPandas(finer(width), "part int, run binary")
     found = runs.groupBy("part").applyInPandas(merge, "part int, docs binary, found binary")
     packs = read.mapInArrow(pack, "part int, docs binary, found binary")
     settled = packs.unionByName(found).groupBy("part").applyInPandas(settle, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")

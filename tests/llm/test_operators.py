@@ -461,6 +461,31 @@ def test_suffixes_many_texts_of_an_id(spark):
         assert found.filter("n_removed not in (0, 70)").isEmpty()
 
 
+def test_suffixes_many_rounds(spark, monkeypatch):
+    """Three rounds of exchange give what one gives."""
+    monkeypatch.setattr(suffixes, "FAN", 3)
+    rnd = random.Random(22)
+    base = [words(rnd, 40, 30) for _ in range(6)]
+    texts = [" ".join([words(rnd, 9, 50), rnd.choice(base), words(rnd, 9, 50)]) for _ in range(40)] + [None, base[0]]
+    assert suffixes.widths(20) == [9, 3, 1]
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.find_repeats(docs(spark, texts), range_bytes=1000).collect()}
+    assert got == brute.repeats(list(enumerate(texts)))
+
+
+def test_runs_stay_long_at_any_number_of_ranges():
+    rnd = random.Random(23)
+    data = " ".join(words(rnd, 100, 20_000) for _ in range(1500)).encode()
+    edges = suffixes.np.arange(0, len(data) + 1, len(data) // 50)
+    sizes = []
+    for ranges in (128, 7_500, 250_000, 25_000_000):
+        runs = list(suffixes.sorted_runs(data, edges[:-1], edges[1:], edges[:-1], edges[:-1] * 0, ranges, suffixes.widths(ranges)[0]))
+        assert len(runs) <= suffixes.FAN
+        finer = [x for _, run in runs[:8] for x in suffixes.merged_runs([run], ranges, suffixes.widths(ranges)[min(1, len(suffixes.widths(ranges)) - 1)])]
+        assert finer
+        sizes.append(sum(len(r) for _, r in runs))
+    assert max(sizes) <= 1.3 * min(sizes)
+
+
 def test_loser_tree():
     rnd = random.Random(8)
     for _ in range(50):
