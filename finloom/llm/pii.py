@@ -1,7 +1,8 @@
 """Personal data (native: SQL functions only).
 
 Regular expressions propose spans, validators confirm them (octets, Luhn, digit counts, mod-97), and context words
-close before a span raise its score. Base kinds (email, ip, card, phone) stand once they are valid; further kinds
+near a span raise its score: within the 40 code points before it, across other matches, or within the first 40 of
+what follows up to the second next match of its kind. Base kinds (email, ip, card, phone) stand once they are valid; further kinds
 (iban, ssn, secret) need a score of at least `THRESHOLD`: IBANs have it by their check digits, numbers in the form of
 social security numbers and long key-like strings only by their context.
 
@@ -11,7 +12,7 @@ kind's tell-tale character skip its patterns. Quantifiers are possessive where t
 runs take linear time and no stack.
 
 Defined results: null and empty texts have no spans; matches that fail validation are dropped and not tried again;
-rows are judged one by one, so repeated rows and ids do no harm; empty tables give empty tables; further columns pass
+very long texts are read whole; rows are judged one by one, so repeated rows and ids do no harm; empty tables give empty tables; further columns pass
 through, those named like a result are replaced.
 """
 
@@ -38,7 +39,8 @@ SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/-])"
 
 @dataclass(frozen=True)
 class Kind:
-    """has: a cheap condition on the text; valid: one on the match x; score without context; context: pattern before it."""
+    """has: a cheap condition on the text; valid: one on the match x; score without context; context: pattern before it;
+    after: whether the pattern may stand after it as well."""
 
     name: str
     pattern: str
@@ -47,6 +49,7 @@ class Kind:
     base: bool
     score: float
     context: str
+    after: bool = True
 
 
 def _sql(pattern: str) -> str:
@@ -75,7 +78,7 @@ KINDS = (
     Kind("phone", PHONE, _PLUS, _FEW.format(d=_DIGITS, a=9, b=15), True, 0.8, "(?i)phone|tel|call|mobile|fax"),
     Kind("iban", IBAN, "rlike({t}, '[A-Z]{2}[0-9]{2}')", f"case when char_length({_COMPACT}) between 15 and 34 then {_MOD97} else false end", False, 0.7, "(?i)iban|account|konto|compte|cuenta"),
     Kind("ssn", SSN, "rlike({t}, '[0-9]-[0-9]')", "not rlike({x}, '^(?:000|666|9)|-00-|-0000$')", False, 0.3, "(?i)\\\\bssn\\\\b|social security"),
-    Kind("secret", SECRET, "rlike({t}, '(?i)token|secret|passw|api.?key')", "rlike({x}, '[0-9]') and rlike({x}, '[A-Za-z]')", False, 0.2, "(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key)[^A-Za-z0-9]{0,8}$"),
+    Kind("secret", SECRET, "rlike({t}, '(?i)token|secret|passw|api.?key')", "rlike({x}, '[0-9]') and rlike({x}, '[A-Za-z]')", False, 0.2, "(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key)[^A-Za-z0-9]{0,8}$", False),
 )
 
 
@@ -96,15 +99,21 @@ def _fold(items: str, state: str, kind: str, step: str) -> str:
 def _spans(kind: Kind, order: int, text: str) -> str:
     """SQL for the kind's valid spans in the text: array of (start, ord, end, kind, base, score)."""
     rx = _sql(kind.pattern)
-    pieces = f"zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), array('')), (g, h) -> named_struct('n', char_length(g), 'c', right(g, {CONTEXT_CHARS}), 'x', h))"
-    none = "cast(array() as array<struct<s:int,c:string,x:string>>)"
+    near = f"left({{}}, {CONTEXT_CHARS})"
+    # g: the piece before a match, m: the matches, the last piece has none
+    pair = f"named_struct('n', char_length(g), 'c', right(g, {CONTEXT_CHARS}), 'l', {near.format('g')}, 'x', h)"
+    joined = f"zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), array('')), (g, h) -> {pair})"
+    # what follows a match: the next piece, the next match, the piece after it
+    follows = near.format(f"concat(get(w, i + 1).l, case when char_length(get(w, i + 1).l) < {CONTEXT_CHARS} then concat({near.format('get(w, i + 1).x')}, coalesce(get(w, i + 2).l, '')) else '' end)")
+    pieces = _let("w", joined, f"transform(w, (v, i) -> named_struct('n', v.n, 'c', v.c, 'f', case when v.x = '' then '' else {follows} end, 'x', v.x))") if kind.after else joined.replace(f"'l', {near.format('g')}", "'f', ''")
+    none = "cast(array() as array<struct<s:int,c:string,f:string,x:string>>)"
     # the state carries the last code points over matches, so that a match's context does not end at the one before
     before = f"right(concat(a.at.c, p.c), {CONTEXT_CHARS})"
     after = f"right(concat(c, right(p.x, {CONTEXT_CHARS})), {CONTEXT_CHARS})"
     state = f"named_struct('n', a.at.n + p.n + char_length(p.x), 'c', {after})"
-    step = _let("c", before, f"named_struct('at', {state}, 'x', case when p.x = '' then {none} else array(named_struct('s', a.at.n + p.n, 'c', c, 'x', p.x)) end)")
+    step = _let("c", before, f"named_struct('at', {state}, 'x', case when p.x = '' then {none} else array(named_struct('s', a.at.n + p.n, 'c', c, 'f', p.f, 'x', p.x)) end)")
     valid = kind.valid.replace("{x}", "m.x")
-    score = f"least(1.0D, {kind.score}D + case when rlike(m.c, '{kind.context}') then 0.5D else 0.0D end)"
+    score = f"least(1.0D, {kind.score}D + case when rlike(m.c, '{kind.context}') or (m.f <> '' and rlike(m.f, '{kind.context}')) then 0.5D else 0.0D end)"
     found = f"transform(filter({_fold(pieces, "named_struct('n', 0, 'c', '')", none, step)}, m -> {valid}), m -> named_struct('start', m.s, 'ord', {order}, 'end', m.s + char_length(m.x), 'kind', '{kind.name}', 'base', {str(kind.base).lower()}, 'score', {score}))"
     empty = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string,base:boolean,score:double>>)"
     return f"case when {kind.has.replace('{t}', text)} then {found} else {empty} end"

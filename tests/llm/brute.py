@@ -34,6 +34,45 @@ def pii(text):
     return [sum(x[3] == k for x in spans) for k in ("email", "ip", "card", "phone")], hashlib.sha256(listed.encode()).hexdigest(), listed
 
 
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/-])")
+
+
+def further_spans(text):
+    """kind:start:end of the kinds beyond the base ones, decided by validators and the words around, match by match."""
+    text, out = text or "", []
+
+    def near(matches, i):
+        """The 40 characters before a match, and the first 40 after it, which end with the second next match."""
+        m = matches[i]
+        stop = matches[i + 2].start() if i + 2 < len(matches) else len(text)
+        return text[max(m.start() - 40, 0) : m.start()], text[m.end() : min(m.end() + 40, stop)]
+
+    for m in IBAN.finditer(text):
+        c = m.group().replace(" ", "")
+        if 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1:
+            out.append((m.start(), 4, m.end(), "iban"))
+    found = list(SSN.finditer(text))
+    for i, m in enumerate(found):
+        g = m.group()
+        if g[:3] not in ("000", "666") and g[0] != "9" and g[4:6] != "00" and g[7:] != "0000" and any(re.search(r"(?i)\bssn\b|social security", x) for x in near(found, i)):
+            out.append((m.start(), 5, m.end(), "ssn"))
+    if re.search("(?i)token|secret|passw|api.?key", text):
+        found = list(SECRET.finditer(text))
+        for i, m in enumerate(found):
+            if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and re.search(r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key)[^A-Za-z0-9]{0,8}$", near(found, i)[0]):
+                out.append((m.start(), 6, m.end(), "secret"))
+    return out
+
+
+def all_spans(text):
+    """Base and further spans, listed by start, then kind."""
+    order = {"email": 0, "ip": 1, "card": 2, "phone": 3}
+    base = [(int(s), order[k], int(e), k) for k, s, e in (x.split(":") for x in pii(text)[2].split(",") if x)]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + further_spans(text)))
+
+
 def repeats(docs, n=50):
     """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256) of exact substring dedup by n-byte strings."""
     first = {}

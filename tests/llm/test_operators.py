@@ -256,6 +256,20 @@ def test_pii_context_over_matches(spark):
     assert [r.text for r in masked] == ["token=[SECRET]", "SSN: [SSN], [SSN], [SSN]"]
 
 
+def test_pii_all_spans(spark):
+    """Generated texts against the row-by-row version, spans of all kinds."""
+    rnd = random.Random(31)
+    bits = ["123-45-6789", "321-54-9876", "666-12-1234", "ssn", "SSN:", "is my social security number", "token=", "api_key: ", "secret ", "65f8700754a1b2c3d4e5f6", "abcdefghijklmnopqrstuvwxyz", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "a.b@c.de", "10.0.0.1", "999.1.1.1",
+            "4111 1111 1111 1111", "+49 170 1234567", "é" * 9, "word " * 7, "\n", "x" * 45, ",", "=", "password is "]
+    texts = ["".join(rnd.choice(bits) + rnd.choice([" ", ", ", ""]) for _ in range(rnd.randrange(1, 14))) for _ in range(300)]
+    texts += ["321-54-9876 is my social security number", "my ssn 123-45-6789 and 321-54-9876", "token=65f8700754a1b2c3d4e5", None, ""]
+    got = pii.find_pii(docs(spark, texts)).select("doc_id", registry._listed(F.col("pii")).alias("spans")).collect()
+    for r in got:
+        assert r.spans == brute.all_spans(texts[r.doc_id]), texts[r.doc_id]
+    found = {r.doc_id: r.spans for r in got}
+    assert found[300] == "ssn:0:11" and found[301].count("ssn") == 2 and "secret" in found[302]
+
+
 # --- 2
 
 def test_licenses(spark):

@@ -18,7 +18,7 @@ COLUMNS = {
     "op4_html": "page_id url text n_chars",
     "op5_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op6_near_duplicates": "doc_id class_id",
-    "op7_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op7_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans has_pii",
     "op8_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated n_near_items",
     "op10_line_dedup": "doc_id n_lines n_dropped kept_sha256",
@@ -45,6 +45,7 @@ def test_query(spark, rows, name):
         assert {r.doc_id: r.class_id for r in got} == brute.classes(rows)
     if name == "op7_pii":
         assert {r.doc_id: ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) for r in got} == {i: brute.pii(t)[:2] for i, t in rows}
+        assert {r.doc_id: r.spans for r in got} == {i: brute.all_spans(t) for i, t in rows}
     if name in registry.ORACLES:
         con = duckdb.connect()
         for t in ("documents", "benchmark"):
