@@ -83,9 +83,12 @@ rep as (select rid, i, count(*) over (partition by rid, g) k from (select rid, u
 cov as (select rid, count(distinct i + o) n from rep, (values (0), (1), (2)) v(o) where k > 1 group by rid),
 f as (select doc_id, cast(len(w) as bigint) n_words, cast(length(list_aggregate(w || [''], 'string_agg', '')) as bigint) word_chars,
  cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(len(l) as bigint) n_lines,
- cast(coalesce(cov.n, 0) as bigint) n_repeat_words, lower(t) <> t and upper(t) = t caps from n left join cov using (rid))
+ cast(coalesce(cov.n, 0) as bigint) n_repeat_words, lower(t) <> t and upper(t) = t caps,
+ len(regexp_extract_all(t, '(?i)lorem ipsum')) lorem, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) ell, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) bul,
+ len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-@\[-`\x7B-\x7F]'))) alpha from n left join cov using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
- not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or caps or word_chars < 2 * n_words or word_chars > 20 * n_words) kept from f
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or caps or word_chars < 2 * n_words or word_chars > 20 * n_words
+ or lorem > 0 or (n_lines >= 4 and (10 * ell > 3 * n_lines or 10 * bul > 9 * n_lines)) or 2 * alpha < n_words) kept from f
 """
 
 #: Targets: sources by size over weight; the longest prefix of them that a share would lift above three times is full.
