@@ -184,3 +184,35 @@ n as (select template, count(*) n from ts group by template),
 m as (select rid, doc_id, template, any_value(license) license, count(*) k from ds join ts using (g) group by rid, doc_id, template)
 select doc_id, cast(template as integer) template, license, n n_template, k n_shared, k::double / n containment from m join n using (template) where k::double / n >= 0.8
 """
+
+
+def _swapped(sql: str, *pairs: tuple[str, str]) -> str:
+    """sql with each text replaced, which must be there."""
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"not in the query: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def pipeline_sql() -> str:
+    """The five stages of the corpus pipeline as one query: each twin reads the stage before and hands on the rows."""
+    row = "struct_pack(\"text\" := text, lang := lang, source := source, n_chars := n_chars) row_"
+    fields = "row_.\"text\" as text, row_.lang lang, row_.source source, row_.n_chars n_chars"
+    quality_ = _swapped(
+        ORACLES["op8_quality"], ("coalesce(text, '') t from documents", f"coalesce(text, '') t, {row} from documents"), ("b as (select doc_id, t,", "b as (select doc_id, t, row_,"), ("f as (select doc_id,", "f as (select doc_id, row_,"), ("select doc_id, n_words, word_chars,", f"select doc_id, {fields}, n_words, word_chars,")
+    )
+    lines = ORACLES["op10_line_dedup"]
+    lines = _swapped(lines[: lines.index("select doc_id, cast(count(*)")], ("l from documents", f"l, {row} from documents"), ("select rid, doc_id, unnest(l) line", "select rid, doc_id, row_, unnest(l) line"), ("from documents", "from s1"))
+    lines += "select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text, any_value(row_).lang lang, any_value(row_).source source from m group by rid, doc_id"
+    near = ORACLES["op6_near_duplicates"]
+    near = _swapped(near[: near.index("select doc_id, case when m")], ("coalesce(text, '') x from documents", f"coalesce(text, '') x, {row} from s2"))
+    near += f"select doc_id, {fields} from d join c using (t) where id = m"
+    leaks = ORACLES["op9_decontamination"]
+    leaks = _swapped(leaks[: leaks.index("cov as (")].rstrip().rstrip(","), (" w from documents", f" w, {row} from s3"))
+    leaks += f" select doc_id, {fields} from d where rid not in (select rid from hits)"
+    mix = _swapped(ORACLES["op3_mixing"], ("select doc_id, source, cast(", f"select doc_id, source, {row}, cast("), ("as bigint) h from documents", "as bigint) h from s4"), ("select doc_id, size, cast(e.n", f"select doc_id, {fields}, size, cast(e.n"))
+    return (
+        f"with s1 as (select doc_id, text, lang, source, n_chars from ({quality_}) where kept), s2 as (select *, cast(length(text) as bigint) n_chars from ({lines})), "
+        f"s3 as ({near}), s4 as ({leaks}) select * from ({mix}) where taken > 0"
+    )

@@ -370,6 +370,9 @@ def test_html(spark):
     assert htmltext.extract_pages(df.limit(0)).count() == 0
 
 
+SENTENCE = "This is a sentence of running text that says something in plain words. "
+
+
 def test_html_density(monkeypatch):
     """Pages that only density can tell apart: no article, no marks. Without the measure they fail."""
     prose = SENTENCE * 4
@@ -646,3 +649,27 @@ def test_pipeline(spark):
     for s, n in sizes.items():
         assert abs(sum(r.taken for r in got.values() if r.source == s) - goal[s]) <= 82
         assert all(r.source_size == n and r.target == pytest.approx(goal[s]) for r in got.values() if r.source == s)
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    rnd = random.Random(19)
+    good = [words(rnd, 80, 4000) for _ in range(6)]
+    rows = [(0, good[0], "en", "a", 1), (0, good[0], "en", "a", 1), (None, good[1], None, None, None), (None, good[2], "en", "b", 3), (4, None, "en", "a", 0), (5, "", None, None, None), (6, "\n".join([good[3]] * 2), "en", "a", 9), (7, words(rnd, 60_000, 50_000), "en", None, 5), (8, good[4], "en", "b", 1)]
+    at = "/tmp/finloom-test-edges"
+    clash = {"size": F.lit("x"), "n_words": F.lit("y"), "kept": F.lit(0), "items": F.lit(1), "__q_text": F.lit("not me"), "taken": F.lit("z")}
+    spark.createDataFrame(rows, SCHEMA).withColumns(clash).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    bench = spark.createDataFrame([("q", good[4][:120]), (None, None)], "item_id string, text string")
+    bench.write.mode("overwrite").parquet(f"{at}/benchmark.parquet")
+    done = corpus_pipeline.run(spark, at)
+    assert done.columns == [*corpus_pipeline.COLUMNS, "size", "source_size", "target", "taken"]
+    got = done.collect()
+    assert {r.text for r in got} <= {good[0], good[1], good[2], "\n".join([good[3]] * 2), rows[7][1]} and len(got) == len({r.text for r in got})
+    assert all(r.size == len(r.text.split()) and r.taken > 0 for r in got)
+    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
+    spark.createDataFrame(rows[:3], SCHEMA).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    bench.limit(0).write.mode("overwrite").parquet(f"{at}/benchmark.parquet")
+    assert {r.text for r in corpus_pipeline.run(spark, at).collect()} <= {good[0], good[1]}
