@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from finloom.llm import decontam, linededup, mixing, neardup, quality
 from finloom.llm.common import materialise, table
+from finloom.llm.registry import pipeline_sql
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,8 +53,7 @@ STAGES = [
     ("source mix", source_mix),
 ]
 
-#: Near-duplicate classes are no SQL; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
+ORACLE_SQL = pipeline_sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
