@@ -144,12 +144,12 @@ FALLBACK_TERMS = (
     ("CHIFFREDAFFAIRES", "CHIFFRE D'AFFAIRES"),
 )
 # What is counted and rewritten, in order: (category, pattern, replacement). A sign or letter counts on the
-# text that the rewriting before it left.
+# text that the rewriting before it left. Java reads $10 as group 1 and a 0 where there are two groups, and takes no ${1}.
 REWRITES = (
     ("camel", "([a-zéèêëàâäùûüîïôöç])([A-ZÉÈÊËÀÂÄÙÛÜÎÏÔÖÇ])", "$1 $2"),
     ("space", "([a-zéèêëàâäùûüîïôöç]{2,})([A-ZÉÈÊËÀÂÄÙÛÜÎÏÔÖÇ][a-zéèêëàâäùûüîïôöç]+)", "$1 $2"),
     ("sign", r"(?m)^=(\d)", "-$1"), ("sign", r"\s=(\d)", " -$1"), ("sign", r"(?m)^:(\d)", "-$1"), ("sign", r"\s:(\d)", " -$1"), ("sign", r"(?m)^_(\d)", "-$1"), ("sign", r"\s_(\d)", " -$1"),
-    *(("glyph", rf"(\d){glyph}(\d)", rf"${{1}}{digit}$2") for glyph, digit in zip("OolISB", "001158")),
+    *(("glyph", rf"(\d){glyph}(\d)", f"$1{digit}$2") for glyph, digit in zip("OolISB", "001158")),
 )
 
 

@@ -1,9 +1,11 @@
 import io
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from finloom.operators import columns, repair, store
+from finloom.plans import catalog
 from finloom.sources import documents
 
 TABLE = "doc_id string, source string, table_idx int, "
@@ -25,6 +27,19 @@ def test_correct_phrases(spark):
     assert got == {1: ("Total des actifs", True), 2: ("1 500,00", False), 3: (None, False), 4: ("total", False)}
 
 
+def test_correction_counts_of_letters_between_digits(spark, tmp_path):
+    """Every letter that is read as a digit, alone and with a sign before; the query gives what its SQL gives."""
+    texts = ["1O2 1o2 1l2 1I2 1S2 1B2", "=1S5 and :2B2", "1S1S1", "nothing", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_sign, r.n_glyph, r.n_corrections) for r in repair.correction_counts(docs).collect()}
+    assert got == {0: ("102 102 112 112 152 182", 0, 6, 6), 1: ("-155 and -282", 2, 2, 4), 2: ("151S1", 0, 1, 1), 3: ("nothing", 0, 0, 0), 4: ("", 0, 0, 0)}
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(catalog.ORACLES["correction_stats"])
+    assert sorted(map(tuple, catalog.correction_stats(spark, str(tmp_path)).select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
 def layout(spark, headers, rows):
     h = spark.createDataFrame([("d", "s", 0, i, n) for i, n in enumerate(headers)], TABLE + "col_idx int, col_name string")
     c = spark.createDataFrame([("d", "s", 0, r, i, v) for r, row in enumerate(rows) for i, v in enumerate(row)], TABLE + "row_idx int, col_idx int, raw_value string")
