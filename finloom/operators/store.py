@@ -130,14 +130,17 @@ def confirmed_customs(log: DataFrame) -> DataFrame:
 
 
 def job_step(jobs: DataFrame, outcomes: DataFrame, retries: int = 3) -> DataFrame:
-    """Jobs after their run (job_id, ok, error): done, queued again with a wait, or failed; errors keep 4000 characters."""
-    out = jobs.join(outcomes, "job_id", "left")
+    """Jobs after their run (job_id, ok, error): done, queued again with a wait, or failed; errors keep 4000 characters.
+
+    Errors are cut before they are joined. They are merged, never broadcast: Spark takes any text for 20 bytes when it plans.
+    """
+    ends = outcomes.withColumn("error", F.substring("error", 1, 4000))
+    out = jobs.join(ends.hint("merge"), "job_id", "left")
     again = (F.col("ok") == F.lit(False)) & (F.col("attempt") < retries)
     return out.withColumns({
         "status": F.when(F.col("ok"), "done").when(again, "queued").when(F.col("ok") == F.lit(False), "failed").otherwise(F.col("status")),
         "wait": F.when(again, retry_backoff(F.col("attempt"))),
         "attempt": F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")),
-        "error": F.substring("error", 1, 4000),
     }).drop("ok")
 
 

@@ -79,3 +79,18 @@ def test_jobs(spark):
     ends = spark.createDataFrame([(1, True, None), (2, False, "e" * 9000), (3, False, "e")], "job_id int, ok boolean, error string")
     got = {r.job_id: (r.status, r.attempt, r.wait, len(r.error or "")) for r in store.job_step(jobs, ends).collect()}
     assert got == {1: ("done", 0, None, 0), 2: ("queued", 2, 2.0, 4000), 3: ("failed", 3, None, 1), 4: ("queued", 0, None, 0)}
+
+
+def test_jobs_with_more_errors_than_can_be_broadcast(spark, tmp_path):
+    """12 MB of errors, which Spark plans as 20 bytes each, where 4 MB can be broadcast; the query gives what its SQL gives."""
+    kind = F.get(F.array(*map(F.lit, ["error", "error", "error", "error", "purchase", "view"])), (F.col("id") % 6).cast("int"))
+    spark.range(3600).select(F.col("id").alias("event_id"), kind.alias("event_type")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    rel = con.sql(catalog.ORACLES["job_steps"])
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = catalog.QUERIES["job_steps"](spark, str(tmp_path)).select(*rel.columns).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
